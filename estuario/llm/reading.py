@@ -198,12 +198,14 @@ def fit(texts: list[str], levels: list[float], *, ridge: float = 0.5, folds: int
         (ww, wb), (gw, gb) = (_fit_sentences(c, chosen, by_gram, ridge, steps) for by_gram in (False, True))
         return Model(ww, gw, wb, gb, empty)
 
+    part = np.empty(len(docs), int)
+    part[np.argsort(c.y, kind="stable")] = np.arange(len(docs)) % folds  # every part has all levels
     held, ys = [], []
     for k in range(folds if len(docs) >= folds else 0):
-        out = c.doc % folds == k
-        s = Scorer(model(~out))
-        held.append(s.distributions([". ".join(" ".join(x) for x in d) for d, _ in docs[k::folds]])[0])
-        ys.append(c.y[k::folds])
+        s = Scorer(model(part[c.doc] != k))
+        mine = np.flatnonzero(part == k)
+        held.append(s.distributions([". ".join(" ".join(x) for x in docs[i][0]) for i in mine])[0])
+        ys.append(c.y[mine])
     full = model(np.ones(len(c.doc), bool))
     if held:
         X, y = document_features(np.concatenate(held)), np.concatenate(ys)
