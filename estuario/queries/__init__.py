@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_problems
+from . import analysis, data_problems, layers
 
-MODULES = [data_problems]
+MODULES = [data_problems, layers, analysis]
 
 
 def queries() -> dict:
