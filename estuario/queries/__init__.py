@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, data_problems, layers
+from . import analysis, data_problems, layers, primitives
 
-MODULES = [data_problems, layers, analysis]
+MODULES = [data_problems, layers, analysis, primitives]
 
 
 def queries() -> dict:
