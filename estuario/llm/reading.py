@@ -217,7 +217,10 @@ def fit(texts: list[str], levels: list[float], *, ridge: float = 0.5, folds: int
 def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> tuple[list[str], list[float]]:
     """Texts and mean levels of at most ``limit`` labelled documents, chosen by a hash of the id; null and impossible levels are left out."""
     y = labels.where(F.col("nivel").between(1, LEVELS)).groupBy("doc_id").agg(F.avg("nivel").alias("nivel"))
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", "nivel").collect()
+    # the ids are chosen first, so no task sends the driver more than its share of the chosen texts
+    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "nivel").collect()
+    rows = [(r.text, r.nivel) for r in sorted(rows, key=lambda r: r.doc_id)]
     texts, levels, left = [], [], MAX_TRAINING_CHARS
     for t, v in rows:
         left -= len(t)
