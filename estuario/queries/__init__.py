@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, data_problems, layers, primitives
+from . import analysis, data_problems, layers, primitives, quality
 
-MODULES = [data_problems, layers, analysis, primitives]
+MODULES = [data_problems, layers, analysis, primitives, quality]
 
 
 def queries() -> dict:
