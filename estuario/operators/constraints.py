@@ -60,7 +60,7 @@ def violations(df: DataFrame, table: str) -> DataFrame:
 def not_unique(df: DataFrame, keys: list[str], *, nulls_equal: bool = True) -> DataFrame:
     """Keys that occur more than once. With ``nulls_equal`` null is a value; else keys with a null are not compared (a partial unique rule)."""
     d = df if nulls_equal else df.dropna(subset=keys)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("ocorrencias")).where("ocorrencias > 1")
 
 
 def require_valid(df: DataFrame, table: str) -> DataFrame:

@@ -55,7 +55,7 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
         chain.append(post)
         post = next((q for k in _QUOTED if k in post and (q := _unwrap(post.pop(k))) is not None), None)
     out = []
-    below: bytes | None = None
+    below, last = None, 0
     for depth in range(len(chain) - 1, -1, -1):
         post, children = chain[depth], []
         holder, *keys = _lists(post)
@@ -68,10 +68,10 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
                     children.append((kind, i, _hash(kind, text), text))
         text = _canonical(post | {"@filhos": [h.hex() for _, _, h, _ in children], "@cita": below and below.hex()})
         own = _hash("postagem", text)
-        out += [(kind, depth, i, own, h, t) for kind, i, h, t in children]
         if below is not None:
-            k = next(i for i, r in enumerate(out) if r[0] == "postagem" and r[1] == depth + 1)
-            out[k] = (*out[k][:3], own, *out[k][4:])
+            out[last] = (*out[last][:3], own, *out[last][4:])
+        out += [(kind, depth, i, own, h, t) for kind, i, h, t in children]
+        last = len(out)
         out.append(("postagem", depth, 0, None, own, text))
         below = own
     return out

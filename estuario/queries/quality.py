@@ -88,8 +88,8 @@ ORACLE = {
     "l2_pending": f"WITH {ATIV} SELECT postagem_id FROM postagem JOIN st USING (postagem_id) WHERE stance = 'sem_rotulo' AND trim(texto_limpo, ' ') <> ''",
     "l5_distribution": f"WITH {ATIV} SELECT caso, stance, n, round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY caso) AS DOUBLE), 6) AS parcela FROM (SELECT caso, stance, count(*) AS n FROM st GROUP BY 1, 2)",
     "k12_constraints": " UNION ALL ".join(f"SELECT '{t}' AS tabela, '{c.name}' AS regra, count(*) FILTER (NOT coalesce({_DUCK.get(c.name, c.condition)}, true)) AS violacoes FROM {t}" for t in TABLES for c in constraints.CHECKS[t]),
-    "k12_unique_handles": "SELECT plataforma, lower(handle) AS handle, count(*) AS n FROM conta GROUP BY 1, 2 HAVING count(*) > 1",
-    "k12_unique_native": "SELECT plataforma, id_nativo, count(*) AS n FROM conta WHERE id_nativo IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    "k12_unique_handles": "SELECT plataforma, lower(handle) AS handle, count(*) AS ocorrencias FROM conta GROUP BY 1, 2 HAVING count(*) > 1",
+    "k12_unique_native": "SELECT plataforma, id_nativo, count(*) AS ocorrencias FROM conta WHERE id_nativo IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
     "v1_cleaning_oracle": f"SELECT caso_slug, count(*) AS postagens, count(*) FILTER (e) AS iguais, round(CAST(count(*) FILTER (e) AS DOUBLE) / count(*), 6) AS parcela FROM (SELECT caso_slug, {_CLEAN} IS NOT DISTINCT FROM texto_limpo AS e FROM postagem) GROUP BY 1",
     "v2_ruler": f"WITH {ATIV}, grafo AS (SELECT DISTINCT * FROM grafo_arestas) "
     + " UNION ALL ".join(

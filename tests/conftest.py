@@ -10,7 +10,8 @@ from estuario.session import build  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build("local[4]", shuffle_partitions=4, **{"spark.driver.memory": "4g"})
+    # tiny inputs: compiling each plan would take most of the time
+    s = build("local[4]", shuffle_partitions=3, **{"spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
