@@ -101,17 +101,27 @@ def p2_summary(cal: DataFrame) -> DataFrame:
 # -- P3: participation
 
 
+def _top_of(h: DataFrame, keys: list[str], value: str, n: Column, parts: dict[str, float]) -> DataFrame:
+    """Adds, per row of a histogram (value, c accounts), what its accounts give to the top ``part`` of n accounts, for each of ``parts``.
+
+    Accounts with equal values are interchangeable, so the cut by count needs no rank of accounts: of each value it takes as many as
+    are left to take. A histogram has few rows, where a case may have most of all accounts.
+    """
+    ahead = F.sum("c").over(W.partitionBy(*keys).orderBy(F.desc(value))) - F.col("c")
+    h = h.withColumns({"_antes": ahead, "_n": n})
+    return h.withColumns({name: F.greatest(F.lit(0), F.least("c", F.ceil(F.lit(p) * F.col("_n")) - F.col("_antes"))) * F.col(value) for name, p in parts.items()})
+
+
 def p3_summary(roles: DataFrame) -> DataFrame:
-    """Cuts by count of accounts, not by percent rank, so ties do not swallow them."""
-    author = F.col("n_postagens_caso") > 0
-    w = W.partitionBy("caso")
-    r = roles.withColumns({"_pos": F.row_number().over(w.orderBy(F.desc("n_postagens_caso"), "conta_id")), "_n": F.count_if(author).over(w)})
-    top = lambda p: ratio(_sum_if(F.col("_pos") <= F.ceil(F.lit(p) * F.col("_n")), "n_postagens_caso"), F.sum("n_postagens_caso"))
-    one = F.count_if(F.col("n_postagens_caso") == 1)
-    return r.groupBy("caso").agg(
-        F.count(F.lit(1)).alias("contas_no_caso"), F.count_if(author).alias("contas_autoras"), F.count_if(~author).alias("contas_so_mencionadas"), F.count_if(F.col("papel_principal") == "alvo").alias("alvos"),
-        F.sum("n_postagens_caso").alias("total_postagens"), ratio(F.sum("n_postagens_caso"), F.count_if(author)).alias("postagens_por_autora"), one.alias("autoras_com_1_postagem"),
-        ratio(one, F.count_if(author)).alias("parcela_autoras_1_postagem"), F.max("n_postagens_caso").alias("max_postagens_uma_conta"), top(0.01).alias("parcela_top1pct_autoras"), top(0.10).alias("parcela_top10pct_autoras"),
+    """Participation; cuts by count of accounts, not by percent rank, so ties do not swallow them."""
+    v = F.col("n_postagens_caso")
+    h = roles.groupBy("caso", "n_postagens_caso").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("papel_principal") == "alvo").alias("alvo"))
+    authors = F.sum(F.when(v > 0, F.col("c")).otherwise(0))
+    h = _top_of(h, ["caso"], "n_postagens_caso", authors.over(W.partitionBy("caso")), {"_t1": 0.01, "_t10": 0.10})
+    one, posts = _sum_if(v == 1, "c"), F.sum(F.col("c") * v)
+    return h.groupBy("caso").agg(
+        F.sum("c").alias("contas_no_caso"), authors.alias("contas_autoras"), _sum_if(v == 0, "c").alias("contas_so_mencionadas"), F.sum("alvo").alias("alvos"), posts.alias("total_postagens"), ratio(posts, authors).alias("postagens_por_autora"),
+        one.alias("autoras_com_1_postagem"), ratio(one, authors).alias("parcela_autoras_1_postagem"), F.max(v).alias("max_postagens_uma_conta"), ratio(F.sum("_t1"), posts).alias("parcela_top1pct_autoras"), ratio(F.sum("_t10"), posts).alias("parcela_top10pct_autoras"),
     )
 
 
@@ -194,14 +204,15 @@ def p5_series(net: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def p5_summary(ar: DataFrame) -> DataFrame:
+    """Concentration of received mentions per phase and in all, from the histogram of mentions per account."""
     got = _with_total(ar, ["destino_conta_id", "papel_destino"], F.sum("peso").alias("m"))
-    w = W.partitionBy("caso", "fase")
-    r = got.withColumns({"_pos": F.row_number().over(w.orderBy(F.desc("m"), "destino_conta_id")), "_n": F.count(F.lit(1)).over(w)})
-    top = lambda p: ratio(_sum_if(F.col("_pos") <= F.ceil(F.lit(p) * F.col("_n")), "m"), F.sum("m"))
-    return r.groupBy("caso", "fase").agg(
-        F.count(F.lit(1)).alias("contas_mencionadas"), F.sum("m").alias("mencoes"), ratio(_sum_if(F.col("papel_destino") == "alvo", "m"), F.sum("m")).alias("parcela_alvo"),
-        ratio(_sum_if(F.col("_pos") == 1, "m"), F.sum("m")).alias("parcela_top1_conta"), top(0.01).alias("parcela_top1pct"), top(0.05).alias("parcela_top5pct"), top(0.10).alias("parcela_top10pct"),
-        ratio(F.count_if(F.col("m") == 1), F.count(F.lit(1))).alias("parcela_contas_com_1_mencao"),
+    h = got.groupBy("caso", "fase", "m").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("papel_destino") == "alvo").alias("alvo"))
+    keys = ["caso", "fase"]
+    h = _top_of(h, keys, "m", F.sum("c").over(W.partitionBy(*keys)), {"_t1": 0.01, "_t5": 0.05, "_t10": 0.10})
+    total = F.sum(F.col("c") * F.col("m"))
+    return h.groupBy(*keys).agg(
+        F.sum("c").alias("contas_mencionadas"), total.alias("mencoes"), ratio(F.sum(F.col("alvo") * F.col("m")), total).alias("parcela_alvo"), ratio(F.max("m"), total).alias("parcela_top1_conta"),
+        *[ratio(F.sum(f"_t{p}"), total).alias(f"parcela_top{p}pct") for p in (1, 5, 10)], ratio(_sum_if(F.col("m") == 1, "c"), F.sum("c")).alias("parcela_contas_com_1_mencao"),
     )
 
 
@@ -312,12 +323,17 @@ def p10_most_mentioned(ar: DataFrame, roles: DataFrame, narr: DataFrame) -> Data
 
 
 def p10_leaders(ar: DataFrame, roles: DataFrame) -> DataFrame:
-    """The ten non-target accounts that send most accusing mentions, with their rank by mentions received."""
+    """The ten non-target accounts that send most accusing mentions, with their rank by mentions received.
+
+    The top ten are cut before the exchange; the rank is one more than the accounts with more mentions, from their histogram.
+    """
     sent = ar.groupBy("caso", F.col("origem_conta_id").alias("conta_id")).agg(_sum_if(F.col("stance_origem") == "acusador").alias("mencoes_acusadoras"), F.sum("peso").alias("mencoes_emitidas"), F.countDistinct("data").alias("dias_ativos"))
     j = sent.join(roles.where("papel_principal <> 'alvo'").select("caso", "conta_id", "n_postagens_caso", "n_mencoes_recebidas_caso"), ["caso", "conta_id"])
     w = W.partitionBy("caso")
-    j = j.withColumns({"posicao": F.row_number().over(w.orderBy(F.desc("mencoes_acusadoras"), F.desc("mencoes_emitidas"), "conta_id")), "posicao_recebidas": F.rank().over(w.orderBy(F.desc("n_mencoes_recebidas_caso")))})
-    return j.where((F.col("posicao") <= LEADERS) & (F.col("mencoes_acusadoras") > 0)).withColumn("parcela_acusadora", ratio(F.col("mencoes_acusadoras"), F.col("mencoes_emitidas")))
+    h = j.groupBy("caso", "n_mencoes_recebidas_caso").agg(F.count(F.lit(1)).alias("c"))
+    h = h.select("caso", "n_mencoes_recebidas_caso", (F.sum("c").over(w.orderBy(F.desc("n_mencoes_recebidas_caso"))) - F.col("c") + 1).cast("int").alias("posicao_recebidas"))
+    top = j.withColumn("posicao", F.row_number().over(w.orderBy(F.desc("mencoes_acusadoras"), F.desc("mencoes_emitidas"), "conta_id"))).where((F.col("posicao") <= LEADERS) & (F.col("mencoes_acusadoras") > 0))
+    return top.join(h, ["caso", "n_mencoes_recebidas_caso"]).withColumn("parcela_acusadora", ratio(F.col("mencoes_acusadoras"), F.col("mencoes_emitidas")))
 
 
 def _poles(ar: DataFrame, leaders: DataFrame) -> DataFrame:

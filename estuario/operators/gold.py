@@ -75,7 +75,7 @@ def activity(stanced: DataFrame, captures: DataFrame, cal: DataFrame) -> DataFra
     best = captures.groupBy(F.col("caso_slug").alias("caso"), "id_nativo").agg(*[F.max(c).cast("bigint").alias(c) for c in ("likes", "retweets", "quotes", "respostas")])
     j = stanced.join(best, ["caso", "id_nativo"], "left").groupBy("caso", "data", "stance", "tipo_ref")
     g = j.agg(F.count(F.lit(1)).alias("n_postagens"), F.countDistinct("autor").alias("n_autores_distintos"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("likes", "retweets", "quotes", "respostas")])
-    return g.join(F.broadcast(cal.select("caso", "data", "dias_desde_estopim", "fase")), ["caso", "data"], "left")
+    return g.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
 def references(stanced: DataFrame, cases: DataFrame, cal: DataFrame) -> DataFrame:
@@ -83,24 +83,26 @@ def references(stanced: DataFrame, cases: DataFrame, cal: DataFrame) -> DataFram
     s = stanced.join(F.broadcast(cases.select("caso", "alvo_conta_id")), "caso", "left")
     to = F.when(F.col("tipo_ref") != "reply", "nao_se_aplica").when(F.col("ref_conta_id") == F.col("alvo_conta_id"), "alvo").otherwise("terceiros")
     g = s.withColumn("destinatario", to).groupBy("caso", "data", "tipo_ref", "destinatario", "stance").agg(F.count(F.lit(1)).alias("n_postagens"), F.countDistinct("autor").alias("n_autores_distintos"))
-    return g.join(F.broadcast(cal.select("caso", "data", "dias_desde_estopim", "fase")), ["caso", "data"], "left")
+    return g.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
 def network(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     """Daily measures per case: nodes, edges, mentions, density, Gini and HHI of received mentions, in-degree centralisation, target share.
 
     Gini by ranks over all nodes, those with no mention included; centralisation on unweighted in-degree. Measures over one node are
-    null. The edges of a day are aggregated once; degrees, ranks and sums are windows by (case, day), a day being bounded.
+    null. The ranks come from the histogram of mentions received (c nodes after r others have the ranks r + 1 ... r + c), which has few
+    rows however many nodes a day has, so no task ever sorts the nodes of a day.
     """
     e = pairs.groupBy("caso", "data", "origem", "destino").agg(F.count(F.lit(1)).alias("peso"))
     nodes = e.select("caso", "data", F.explode(F.array(F.struct(F.col("origem").alias("no"), F.lit(0).alias("x"), F.lit(0).alias("g")), F.struct(F.col("destino").alias("no"), F.col("peso").alias("x"), F.lit(1).alias("g")))).alias("s"))
-    n = nodes.groupBy("caso", "data", F.col("s.no").alias("no")).agg(F.sum("s.x").alias("x"), F.sum("s.g").alias("g"))
-    w = W.partitionBy("caso", "data")
-    n = n.withColumns({"i": F.row_number().over(w.orderBy("x", "no")), "mx": F.max("g").over(w), "alvo": F.lit(0)}).join(F.broadcast(cases.select("caso", "alvo_conta_id")), "caso", "left")
+    n = nodes.groupBy("caso", "data", F.col("s.no").alias("no")).agg(F.sum("s.x").alias("x"), F.sum("s.g").alias("g")).join(F.broadcast(cases.select("caso", "alvo_conta_id")), "caso", "left")
+    h = n.groupBy("caso", "data", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("g").alias("g"), F.max("g").alias("mx"), F.sum(F.when(F.col("no") == F.col("alvo_conta_id"), F.col("x")).otherwise(0)).alias("xa"))
+    r0 = F.sum("c").over(W.partitionBy("caso", "data").orderBy("x")) - F.col("c")
     dbl = lambda c: c.cast("double")
-    g = n.groupBy("caso", "data").agg(
-        F.count(F.lit(1)).alias("n_nos"), F.sum("g").alias("n_arestas"), F.sum("x").alias("n_mencoes"), F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum(F.col("x") * F.col("x")).alias("x2"),
-        F.sum(F.col("mx") - F.col("g")).alias("falta"), F.sum(F.when(F.col("no") == F.col("alvo_conta_id"), F.col("x")).otherwise(0)).alias("xa"),
+    h = h.withColumn("ranks", dbl(F.col("c")) * dbl(r0) + dbl(F.col("c")) * dbl(F.col("c") + 1) / 2)
+    g = h.groupBy("caso", "data").agg(
+        F.sum("c").alias("n_nos"), F.sum("g").alias("n_arestas"), F.sum(F.col("c") * F.col("x")).alias("n_mencoes"), F.sum(F.col("ranks") * F.col("x")).alias("ix"), F.sum(dbl(F.col("c")) * F.col("x") * F.col("x")).alias("x2"),
+        (F.sum("c") * F.max("mx") - F.sum("g")).alias("falta"), F.sum("xa").alias("xa"),
     )
     N, S = dbl(F.col("n_nos")), dbl(F.col("n_mencoes"))
     r = lambda c: F.round(c, 9)
@@ -108,8 +110,8 @@ def network(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     return g.select(
         "caso", "data", "n_nos", "n_arestas", "n_mencoes",
         r(dbl(F.col("n_arestas")) / z(N * (N - 1))).alias("densidade"),
-        r(F.lit(2.0) * dbl(F.col("ix")) / z(N * S) - (N + 1) / N).alias("gini_mencoes_recebidas"),
-        r(dbl(F.col("x2")) / z(S * S)).alias("hhi_mencoes_recebidas"),
+        r(F.lit(2.0) * F.col("ix") / z(N * S) - (N + 1) / N).alias("gini_mencoes_recebidas"),
+        r(F.col("x2") / z(S * S)).alias("hhi_mencoes_recebidas"),
         r(dbl(F.col("falta")) / z((N - 1) * (N - 1))).alias("centralizacao_grau_entrada"),
         r(dbl(F.col("xa")) / z(S)).alias("isolamento_alvo"),
         F.lit(None).cast("double").alias("assortatividade_stance"),
@@ -132,7 +134,7 @@ def edges(pairs: DataFrame, stanced: DataFrame, roles: DataFrame, cal: DataFrame
     for end in ("origem", "destino"):
         r = F.broadcast(role.select("caso", F.col("conta_id").alias(f"{end}_conta_id"), F.col("papel_principal").alias(f"papel_{end}")))
         e = e.join(r, ["caso", f"{end}_conta_id"], "left").fillna({f"papel_{end}": "demais"})
-    return e.join(F.broadcast(cal.select("caso", "data", "dias_desde_estopim", "fase")), ["caso", "data"], "left")
+    return e.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
 def published_edges(edges: DataFrame, salt: str) -> DataFrame:
