@@ -81,12 +81,12 @@ def eager_join_aggregate(left: Side, right: Side, *, key: str, how: str = "left"
     Both sides are reduced to one compact row per key before they meet; the counts of the join are the products of the counts,
     the sums of one side are multiplied by the count of the other (``<sum>_join``), distinct counts carry over as they are.
 
-    Rows with a null key belong to no group. Missing on the right side counts as 0 rows; sums over nulls alone are null;
-    repeated rows count as often as they stand. Other columns, whatever their names, are never touched.
+    Rows with a null key belong to no group. Missing on a side counts as 0 rows and 0 distinct values with null sums; sums over nulls
+    alone are null too; repeated rows count as often as they stand. Other columns, whatever their names, are never touched.
     """
     a, b = left.compact(), right.compact()
     out = a.join(b, "_key", how).withColumnRenamed("_key", key)
-    for n in (left.rows, right.rows):
+    for n in (left.rows, right.rows, *left.distincts, *right.distincts):
         out = out.withColumn(n, F.coalesce(F.col(n), F.lit(0)).cast("bigint"))
     if pairs:
         out = out.withColumn(pairs, F.col(left.rows) * F.col(right.rows))
@@ -98,12 +98,14 @@ def eager_join_aggregate(left: Side, right: Side, *, key: str, how: str = "left"
 
 
 def accounts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Per destination account of the edge table: edges, weight, distinct sources, days, mentions and pairs edge x mention."""
+    """Per account that is a destination of an edge or of a mention: edges, weight, distinct sources, days, mentions, and the pairs
+    edge x mention with their weight, as the join of both tables by account would have them."""
     e = edges.select("destino_conta_id", "origem_conta_id", "data", "peso")
     return eager_join_aggregate(
         Side(e, "destino_conta_id", "arestas", {"peso": "peso"}, {"origens": "origem_conta_id", "dias": "data"}),
         Side(mentions.select("conta_id"), "conta_id", "mencoes"),
         key="destino_conta_id",
+        how="full",
         pairs="pares",
     )
 

@@ -103,8 +103,9 @@ ORACLE = {
         WITH e AS (SELECT destino_conta_id, count(*) AS arestas, CAST(sum(peso) AS BIGINT) AS peso, count(DISTINCT origem_conta_id) AS origens, count(DISTINCT data) AS dias
                    FROM grafo_arestas WHERE destino_conta_id IS NOT NULL GROUP BY 1),
              m AS (SELECT conta_id, count(*) AS n FROM mencao GROUP BY 1)
-        SELECT destino_conta_id, arestas, peso, origens, dias, coalesce(n, 0) AS mencoes, arestas * coalesce(n, 0) AS pares, peso * coalesce(n, 0) AS peso_pares
-        FROM e LEFT JOIN m ON conta_id = destino_conta_id""",
+        SELECT coalesce(destino_conta_id, conta_id) AS destino_conta_id, coalesce(arestas, 0) AS arestas, peso, coalesce(origens, 0) AS origens, coalesce(dias, 0) AS dias, coalesce(n, 0) AS mencoes,
+               coalesce(arestas, 0) * coalesce(n, 0) AS pares, peso * coalesce(n, 0) AS peso_pares
+        FROM e FULL JOIN m ON conta_id = destino_conta_id WHERE coalesce(destino_conta_id, conta_id) IS NOT NULL""",
     "p6_found": _POSTS
     + r""", l AS (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.legacy.entities.user_mentions', j->'$.mentions') AS m FROM p),
       e AS (SELECT arquivo_id, linha, profundidade, CASE WHEN json_type(m) = 'ARRAY' THEN CAST(m AS JSON[]) WHEN json_type(m) = 'OBJECT' THEN [m] END AS a FROM l),
