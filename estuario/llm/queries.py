@@ -81,7 +81,20 @@ WITH u AS (SELECT *, nullif(ltrim(regexp_replace(regexp_replace(translate(id_nat
 r AS (SELECT DISTINCT ON (caso_slug, id, dedup_id) * FROM u WHERE id IS NOT NULL AND caso_slug IS NOT NULL ORDER BY caso_slug, id, dedup_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY caso_slug, id ORDER BY cheios DESC, atualizado_em DESC NULLS LAST, dedup_id) AS n FROM r)
 """
+_BEST = ", ".join(
+    f"""CASE WHEN count(*) FILTER (b_{c}) > 0 THEN first({c} ORDER BY b_{c} DESC, rk DESC, atualizado_em DESC NULLS LAST, {c} DESC) END AS {c}""" for c in (*survivorship.FILLED, "ref_status_id", "ref_handle")
+)
+_FLAGS = ", ".join(
+    f"{c} IS NOT NULL" + ("" if c == "created_at" else f" AND NOT regexp_full_match({c}, {_BLANK})") + f" AS b_{c}" for c in (*survivorship.FILLED, "ref_status_id", "ref_handle")
+)
 ORACLE = {
+    "p1_sobreviventes": _P1
+    + f""", b AS (SELECT *, {_FLAGS}, CASE lower(trim(fonte, ' ')) WHEN 'graphql' THEN 2 WHEN 'consolidado' THEN 1 ELSE 0 END AS rk FROM o)
+         SELECT caso_slug, id AS id_nativo, count(*) AS linhas, CAST(sum(capturas) AS BIGINT) AS capturas, {", ".join(f"CAST(max(CASE WHEN {c} >= 0 THEN {c} END) AS BIGINT) AS {c}" for c in survivorship.COUNTERS)},
+           {_BEST}, max(CASE WHEN n = 1 THEN dedup_id END) AS dedup_id FROM b GROUP BY caso_slug, id""",
+    "p2_canonico": f"SELECT postagem_id, {lookalike.canonical_sql('texto')} AS texto, {lookalike.canonical_sql('texto_limpo')} AS texto_limpo FROM postagem",
+    "p2_classes": f"""SELECT upper(md5(k)) AS leitura, count(DISTINCT texto) AS formas, count(*) AS registros, min(postagem_id) AS menor_postagem_id
+         FROM (SELECT postagem_id, texto, {lookalike.canonical_sql("texto")} AS k FROM postagem WHERE texto IS NOT NULL) GROUP BY k HAVING count(DISTINCT texto) > 1""",
     "p1_found": _P1
     + """SELECT caso_slug, id AS id_nativo, CAST(sum(capturas) AS BIGINT) AS capturas, CAST(max(CASE WHEN likes >= 0 THEN likes END) AS BIGINT) AS likes, max(CASE WHEN n = 1 THEN dedup_id END) AS dedup_id
          FROM o GROUP BY ALL HAVING count(*) > 1""",
