@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .skew import salted_join
 KINDS = ("postagem", "mencao", "hashtag")
 _SCHEMA = "arquivo_id bigint, linha int, tipo string, profundidade int, posicao int, pai binary, objeto binary, conteudo string"
 _ARROW = pa.schema([("arquivo_id", pa.int64()), ("linha", pa.int32()), ("tipo", pa.string()), ("profundidade", pa.int32()), ("posicao", pa.int32()), ("pai", pa.binary()), ("objeto", pa.binary()), ("conteudo", pa.string())])
+#: Between hashtags that come as one string.
+_SEPARATORS = re.compile(r"[\s,;]+")
 _QUOTED = ("quoted_status_result", "quoted")
 
 
@@ -47,7 +50,8 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
 
     ``objeto`` is the hash of the canonical form in which every child object is replaced by its own hash (a Merkle identity), so equal
     subtrees have equal hashes wherever they occur. A post's children are its mentions, its hashtags and the post it quotes.
-    Places in a list count every element, nulls too; a lone object in place of a list has place 0. ``record`` is taken apart.
+    Places in a list count every element, nulls too; a lone object in place of a list has place 0; hashtags in one string are taken
+    apart at blanks and commas. ``record`` itself is taken apart too.
     """
     chain: list[dict] = []
     post: dict | None = record
@@ -61,6 +65,8 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
         holder, *keys = _lists(post)
         for kind, key in zip(("mencao", "hashtag"), keys):
             items = holder.pop(key, None) if holder is not None else None
+            if kind == "hashtag" and isinstance(items, str):
+                items = [t for t in _SEPARATORS.split(items) if t]
             items = items if isinstance(items, list) else [] if items is None else [items]
             for i, x in enumerate(items):
                 if x is not None:

@@ -96,7 +96,32 @@ WITH RECURSIVE p AS (
   SELECT arquivo_id, linha, profundidade + 1, q FROM (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.quoted_status_result.result', j->'$.quoted') AS q FROM p)
   WHERE json_type(q) = 'OBJECT' AND ((q->'$.legacy') IS NOT NULL OR (q->'$.id') IS NOT NULL))
 """
+_MES = "s"
+for _a, _b in zip("janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split(), range(1, 13)):
+    _MES = f"replace({_MES}, ' de {_a} de ', '/{_b}/')"
+_ABREV = "regexp_replace(regexp_replace(s, '\\[.*\\]$', ''), ' ?(Z|UTC|GMT)$', '+0000')"
+for _a, _m in instants.ABBREVIATIONS.items():
+    if len(_a) > 2 and _a not in ("UTC", "GMT"):
+        _ABREV = f"regexp_replace({_ABREV}, ' {_a}$', '{'-' if _m < 0 else '+'}{abs(_m) // 60:02d}00')"
+_P4 = rf"""
+WITH r AS (SELECT DISTINCT arquivo_id, linha, trim(created_at) AS s FROM v_normalizado),
+ n AS (SELECT *, {_MES} AS m, {_ABREV} AS z FROM r),
+ t AS (SELECT arquivo_id, linha, s,
+   CASE WHEN regexp_full_match(s, '\d{{10}}') THEN CAST(s AS BIGINT) * 1000000 WHEN regexp_full_match(s, '\d{{13}}') THEN CAST(s AS BIGINT) * 1000 END AS epoca,
+   epoch_us(try_strptime(z, ['%a %b %d %H:%M:%S %z %Y', '%Y-%m-%dT%H:%M:%S.%f%z', '%Y-%m-%dT%H:%M:%S%z', '%Y-%m-%d %H:%M:%S.%f%z', '%Y-%m-%d %H:%M:%S%z', '%a, %d %b %Y %H:%M:%S%z', '%Y%m%dT%H%M%S%z'])) AS zonado,
+   CASE WHEN regexp_full_match(s, '\d\d/\d\d/\d\d .*') THEN try_strptime(s, '%d/%m/%y %H:%M')
+        ELSE try_strptime(m, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y às %Hh%M', '%d/%m/%Y, %H:%M:%S', '%b %d, %Y %I:%M:%S %p']) END AS parede FROM n),
+ f AS (SELECT t.*, timezone(fuso, parede) AS a, fuso FROM t LEFT JOIN fuso_arquivo USING (arquivo_id)),
+ g AS (SELECT arquivo_id, linha, coalesce(epoca, zonado, epoch_us(CASE WHEN timezone(fuso, a - INTERVAL 1 HOUR) = parede THEN a - INTERVAL 1 HOUR ELSE a END)) AS instante_us FROM f)
+"""
 ORACLE = {
+    "p4_found": _P4 + "SELECT DISTINCT arquivo_id, linha, instante_us FROM g WHERE instante_us IS NOT NULL",
+    "p6_hashtags": _POSTS
+    + r""", l AS (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.legacy.entities.hashtags', j->'$.hashtags') AS m FROM p),
+      e AS (SELECT arquivo_id, linha, profundidade, CASE WHEN json_type(m) = 'ARRAY' THEN list_transform(CAST(m AS JSON[]), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN x->>'$.text' ELSE x->>'$' END)
+              WHEN json_type(m) = 'VARCHAR' THEN list_filter(string_split_regex(m->>'$', '[\s,;]+'), lambda x: x <> '') END AS a FROM l),
+      x AS (SELECT arquivo_id, linha, profundidade, unnest(a) AS h, generate_subscripts(a, 1) - 1 AS posicao FROM e)
+      SELECT DISTINCT arquivo_id, linha, profundidade, CAST(posicao AS INTEGER) AS posicao, lower(h) AS hashtag FROM x WHERE h IS NOT NULL""",
     "p3_tabela": f"SELECT DISTINCT {', '.join(c if c != 'likes' else 'CAST(likes AS BIGINT) AS likes' for c in _NEVER_REMOVED)}, array_to_string(hashtags, ',') AS hashtags FROM v_normalizado",
     "p5_found": "SELECT destino_conta_id FROM grafo_arestas WHERE destino_conta_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT count(*) FROM grafo_arestas)",
     "p5_contas": """
