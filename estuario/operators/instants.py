@@ -76,8 +76,8 @@ def zone_intervals(zones: DataFrame, years: tuple[int, int] = YEARS) -> DataFram
     """
     offset = lambda sec: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(sec), F.col("fuso"))) - sec
     lo, hi = F.unix_seconds(F.lit(f"{years[0]}-01-01 00:00:00+00:00").cast("timestamp")), F.unix_seconds(F.lit(f"{years[1]}-01-01 00:00:00+00:00").cast("timestamp"))
-    # IANA names only; the pattern also keeps from_utc_timestamp from failing on unreadable text
-    known = zones.select(F.trim("fuso").alias("fuso")).distinct().where(F.col("fuso").isin(_zone_names(zones.sparkSession)))
+    # region names only, as from_utc_timestamp fails on others; one literal, as hundreds make a plan slow to build
+    known = zones.select(F.trim("fuso").alias("fuso")).distinct().where(F.array_contains(F.split(F.lit(" ".join(_zone_names(zones.sparkSession))), " "), F.col("fuso")))
     cells = known.select("fuso", F.explode(F.sequence(lo, hi, F.lit(86400))).alias("t"))
     step = 86400
     for finer in (3600, 60, 1):
@@ -108,24 +108,25 @@ def to_instants(records: DataFrame, zones: DataFrame, *, text: str = "created_at
     intervals of its zone (as-of join by zone and year): one interval gives the offset; two are ``ambigua`` and the
     earlier instant is taken; none is ``inexistente`` and the wall time moves forward by the length of the gap, that is the offset
     before the gap applies. ``situacao``: explicita, unica, ambigua, inexistente, sem_fuso (no zone known: UTC is not guessed, the instant
-    stays null) or ilegivel (null, blank, relative or impossible text; null instant). All records are kept, repeated ones too.
+    stays null) or ilegivel (null, blank, relative or impossible text; null instant). All records are kept, repeated ones too, with
+    their other columns; fuso, instante_us and situacao are replaced.
     """
     zone_of = zones.select(F.col(key), F.trim("fuso").alias("fuso"))
     spread = F.xxhash64(F.col(text), *([F.col("linha")] if "linha" in records.columns else []))
     r = parsed(records.drop("fuso"), text)
     # hot keys are counted on the stored key alone
     j = salted_join(r, zone_of, key, spread=spread, hot_from=records.select(key), right_aggs=[F.min("fuso").alias("fuso")])
-    j = j.withColumn("ano", F.year(F.timestamp_micros(F.greatest(F.least("_parede_us", F.lit((years[1] - 1970) * 31_556_952_000_000 - 86_400_000_000)), F.lit((years[0] - 1970) * 31_556_952_000_000)))))
-    j = j.join(F.broadcast(zone_intervals(zones, years)), ["fuso", "ano"], "left")
+    j = j.withColumn("_ano", F.year(F.timestamp_micros(F.greatest(F.least("_parede_us", F.lit((years[1] - 1970) * 31_556_952_000_000 - 86_400_000_000)), F.lit((years[0] - 1970) * 31_556_952_000_000)))))
+    j = j.join(F.broadcast(zone_intervals(zones, years).withColumnsRenamed({"ano": "_ano", "intervalos": "_intervalos"})), ["fuso", "_ano"], "left")
     wall = F.col("_parede_us")
-    holds = F.filter("intervalos", lambda i: (i["de"] <= wall) & (wall < i["ate"]))
-    before = F.filter("intervalos", lambda i: i["ate"] <= wall)
+    holds = F.filter("_intervalos", lambda i: (i["de"] <= wall) & (wall < i["ate"]))
+    before = F.filter("_intervalos", lambda i: i["ate"] <= wall)
     pick = F.when(F.size(holds) > 0, holds[0]["deslocamento"]).when(F.size(before) > 0, F.try_element_at(before, F.lit(-1))["deslocamento"])
     own = F.col("_deslocamento_us")
     return j.withColumns(
         {
             # a conditional, so that a filter on the result isn't pushed below the join, where it would parse each text twice
             "instante_us": F.when(wall.isNotNull(), wall - F.coalesce(own, pick)),
-            "situacao": F.when(wall.isNull(), "ilegivel").when(own.isNotNull(), "explicita").when(F.col("intervalos").isNull(), "sem_fuso").when(F.size(holds) == 0, "inexistente").when(F.size(holds) > 1, "ambigua").otherwise("unica"),
+            "situacao": F.when(wall.isNull(), "ilegivel").when(own.isNotNull(), "explicita").when(F.col("_intervalos").isNull(), "sem_fuso").when(F.size(holds) == 0, "inexistente").when(F.size(holds) > 1, "ambigua").otherwise("unica"),
         }
-    ).drop("_parede_us", "_deslocamento_us", "ano", "intervalos")
+    ).drop("_parede_us", "_deslocamento_us", "_ano", "_intervalos")

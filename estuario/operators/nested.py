@@ -149,6 +149,6 @@ def posts(registro: DataFrame) -> DataFrame:
 
     ``repeticoes`` is the number of occurrences of the same subtree in all records.
     """
-    flat = flatten(registro, ("postagem",)).select("arquivo_id", "linha", "profundidade", "objeto", "pai").distinct()
+    flat = checkpoint(flatten(registro, ("postagem",)).select("arquivo_id", "linha", "profundidade", "objeto", "pai").distinct())
     n = flat.groupBy("objeto").agg(F.count(F.lit(1)).alias("repeticoes"))
     return salted_join(flat, n, "objeto", spread=F.xxhash64("arquivo_id", "linha"), hot_from=flat.select("objeto")).select("arquivo_id", "linha", "profundidade", F.hex("objeto").alias("objeto"), F.hex("pai").alias("pai"), "repeticoes")

@@ -73,11 +73,6 @@ def test_one_table_routes_every_record(spark):
 # -- instants
 
 
-def instants_of(spark, rows):
-    df = spark.createDataFrame([(i % 7, i, t, "z") for i, t in rows], "arquivo_id bigint, linha int, created_at string, fuso string")
-    return df
-
-
 CASES = [
     ("2024-03-10T10:42:36.429Z", "UTC", "2024-03-10 10:42:36.429"), ("  2024-03-10 10:42", "Asia/Tokyo", "2024-03-10 01:42"), ("11/03/23 04:59", "UTC", "2023-03-11 04:59"), ("1678521021", "Asia/Tokyo", "2023-03-11 07:50:21"),
     ("1698065494859", "UTC", "2023-10-23 12:51:34.859"), ("20241024T110615Z", "Asia/Tokyo", "2024-10-24 11:06:15"), ("2024-03-10T10:24:01.133408+00:00", "UTC", "2024-03-10 10:24:01.133408"), ("Thu, 16 Mar 2023 17:48:36 GMT", "Asia/Tokyo", "2023-03-16 17:48:36"),
@@ -94,17 +89,18 @@ NO = ["", " ", None, "há 3 horas", "sem data", "null", "2023-02-30T10:00:00Z",
 def test_instants_by_case(spark):
     zones = sorted({z for _, z, _ in CASES})
     rows = [(zones.index(z), i, t) for i, (t, z, _) in enumerate(CASES)] + [(0, 1000 + i, t) for i, t in enumerate(NO)] + [(99, 5000, "2024-01-01 10:00"), (None, 5001, "2024-01-01 10:00"), (99, 5002, "2024-01-01 10:00Z")]
-    df = spark.createDataFrame(rows, "arquivo_id bigint, linha int, created_at string").withColumn("fuso", F.lit("ruim")).withColumn("ano", F.lit(7))
+    df = spark.createDataFrame(rows, "arquivo_id bigint, linha int, created_at string").withColumns({"fuso": F.lit("ruim"), "ano": F.lit(7), "intervalos": F.lit(8), "situacao": F.lit("x"), "de": F.lit(9)})
     z = spark.createDataFrame([(i, f" {n}") for i, n in enumerate(zones)] + [(98, "Marte/Olimpo")], "arquivo_id bigint, fuso string")
-    got = {r.linha: (r.instante_us, r.situacao) for r in instants.to_instants(df.drop("ano"), z).collect()}
+    got = {r.linha: (r.instante_us, r.situacao) for r in instants.to_instants(df, z).collect()}
     for i, (t, zone, want) in enumerate(CASES):
         at = dt.datetime.fromisoformat(want).replace(tzinfo=dt.UTC)
         assert got[i][0] == round(at.timestamp() * 1e6), (t, zone, got[i])
     assert all(got[1000 + i] == (None, "ilegivel") for i in range(len(NO))), [(NO[i], got[1000 + i]) for i in range(len(NO)) if got[1000 + i][0] is not None]
     assert got[5000] == (None, "sem_fuso") and got[5001] == (None, "sem_fuso") and got[5002][1] == "explicita"
-    assert len(got) == len(rows)
-    assert instants.to_instants(df.drop("ano").limit(0), z).count() == 0
-    assert instants.to_instants(df.drop("ano"), z.limit(0)).where("situacao = 'explicita'").count() > 10
+    out = instants.to_instants(df, z)
+    assert len(got) == len(rows) and {"ano", "intervalos", "de"} < set(out.columns) and out.agg(F.min("ano"), F.max("intervalos")).first()[:] == (7, 8)
+    assert instants.to_instants(df.limit(0), z).count() == 0
+    assert instants.to_instants(df, z.limit(0)).where("situacao = 'explicita'").count() > 10
 
 
 def test_instants_against_zoneinfo(spark):
