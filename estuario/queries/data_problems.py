@@ -108,7 +108,7 @@ WITH r AS (SELECT DISTINCT arquivo_id, linha, trim(created_at) AS s FROM v_norma
  n AS (SELECT *, {_MES} AS m, {_ABREV} AS z FROM r),
  t AS (SELECT arquivo_id, linha, s,
    CASE WHEN regexp_full_match(s, '\d{{10}}') THEN CAST(s AS BIGINT) * 1000000 WHEN regexp_full_match(s, '\d{{13}}') THEN CAST(s AS BIGINT) * 1000 END AS epoca,
-   epoch_us(try_strptime(z, ['%a %b %d %H:%M:%S %z %Y', '%Y-%m-%dT%H:%M:%S.%f%z', '%Y-%m-%dT%H:%M:%S%z', '%Y-%m-%d %H:%M:%S.%f%z', '%Y-%m-%d %H:%M:%S%z', '%a, %d %b %Y %H:%M:%S%z', '%Y%m%dT%H%M%S%z'])) AS zonado,
+   CASE WHEN regexp_matches(z, '^\d{{4}}-') AND try_cast(left(z, 10) AS DATE) IS NULL THEN NULL ELSE epoch_us(try_strptime(z, ['%a %b %d %H:%M:%S %z %Y', '%Y-%m-%dT%H:%M:%S.%f%z', '%Y-%m-%dT%H:%M:%S%z', '%Y-%m-%d %H:%M:%S.%f%z', '%Y-%m-%d %H:%M:%S%z', '%a, %d %b %Y %H:%M:%S%z', '%Y%m%dT%H%M%S%z'])) END AS zonado,
    CASE WHEN regexp_full_match(s, '\d\d/\d\d/\d\d .*') THEN try_strptime(s, '%d/%m/%y %H:%M')
         ELSE try_strptime(m, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y às %Hh%M', '%d/%m/%Y, %H:%M:%S', '%b %d, %Y %I:%M:%S %p']) END AS parede FROM n),
  f AS (SELECT t.*, timezone(fuso, parede) AS a, fuso FROM t LEFT JOIN fuso_arquivo USING (arquivo_id)),
