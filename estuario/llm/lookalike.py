@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ PICTOGRAM = r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{21FF}\x{23
 _KEPT = "\U0010ffff"
 
 
+@cache
 def one_to_one() -> dict[str, str]:
     """Characters that become one other: width and font forms, positional forms, radicals and numerals by the rule of their Unicode
     decomposition, and the look-alikes with all their accented forms."""
