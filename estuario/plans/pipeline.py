@@ -1,13 +1,15 @@
-"""The whole pipeline as lazily composed frames: bronze to silver, gate, star schema, published views."""
+"""The whole pipeline: bronze to silver, gate, star schema, published views, with one kept frame at the edge of each layer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dml, gold, instants, qc, silver
+from ..session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -17,15 +19,19 @@ class Params:
     now: str
 
 
-def run(spark: SparkSession, src: dict[str, DataFrame], params: Params, *, cases: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every layer by name, from arquivo, registro and fuso_arquivo (and the accounts and posts loaded so far). Nothing is computed
-    here: the caller writes what it needs, at the layer's edge; Catalyst prunes the rest. Posts of cases that fail the gate are not promoted."""
+def run(spark: SparkSession, src: dict[str, DataFrame], params: Params, *, cases: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> dict[str, DataFrame]:
+    """Every layer by name, from arquivo, registro and fuso_arquivo (and the accounts loaded so far).
+
+    ``keep`` materialises the four frames that many others read: dated captures, gate, promoted posts, mention pairs. By default they go to
+    the checkpoint folder; a caller may write and read back tables instead, or pass the frame through. All else is lazy, so Catalyst
+    prunes what the caller does not write. Posts of cases that fail the gate are not promoted."""
     cases = cases if cases is not None else gold.cases(spark)
     norm = silver.normalise(src["registro"], src["arquivo"])
     dated = instants.to_instants(norm, src["fuso_arquivo"]).withColumn("created_at", F.timestamp_micros("instante_us").cast("timestamp_ntz")).drop("instante_us", "situacao", "fuso")
+    dated = keep(dated)
     dedup = silver.deduplicate(dated)
     results = qc.battery(dated, dedup, src["arquivo"], params.version, params.now)
-    gate = qc.gate(results)
+    gate = keep(qc.gate(results))
     promoted = silver.promotable(dedup, gate, params.version)
     accounts = silver.accounts(promoted)
     if "conta" in src:
@@ -38,10 +44,11 @@ def run(spark: SparkSession, src: dict[str, DataFrame], params: Params, *, cases
         .join(key.select(F.col("handle").alias("_r"), F.col("conta_id").alias("ref_conta_id")), F.col("ref_handle") == F.col("_r"), "left")
         .drop("_a", "_r")
     )
+    post = keep(post)
     pair = post.select("postagem_id", F.explode("mencoes").alias("m")).select("postagem_id", F.lower("m.handle").alias("handle")).join(key, "handle").select("postagem_id", "conta_id").distinct()
     label = post.where(F.col("stance_previa").isNotNull()).select("postagem_id", F.col("stance_previa").alias("rotulo"), F.lit(params.version).alias("versao"))
     cal = gold.calendar(post, cases)
-    pairs = gold.mentions_of(post, pair)
+    pairs = keep(gold.mentions_of(post, pair))
     roles = gold.roles(post, pairs, cases)
     stanced = gold.labelled(post, label, params.version)
     edges = gold.edges(pairs, stanced, roles, cal)
