@@ -20,6 +20,8 @@ _ARROW = pa.schema([("arquivo_id", pa.int64()), ("linha", pa.int32()), ("tipo",
 #: Between hashtags that come as one string.
 _SEPARATORS = re.compile(r"[\s,;]+")
 _QUOTED = ("quoted_status_result", "quoted")
+#: Keys around a quoted record: ``{result: record}`` and, for limited posts, ``{result: {limited, tweet: record}}``.
+_WRAPPERS = ("result", "tweet")
 
 
 def _canonical(value: object) -> str:
@@ -30,11 +32,21 @@ def _hash(kind: str, text: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _unwrap(value: object) -> dict | None:
-    """The record of a quoted slot: bare or below ``result``; None for null, empty and unavailable ones."""
-    while isinstance(value, dict) and "result" in value and "legacy" not in value and "core" not in value:
-        value = value["result"]
-    return value if isinstance(value, dict) and any(k in value for k in ("legacy", "id", "user", "text", "body", "author", "mentions", "hashtags")) else None
+def _unwrap(value: object) -> tuple[dict | None, object]:
+    """The record of a quoted slot, bare or below wrappers, and what else the slot holds; None for either where there is none.
+
+    A slot without a record (unavailable posts) is held whole; one that is null or empty at its end holds nothing.
+    """
+    at, above = value, []
+    while isinstance(at, dict) and "legacy" not in at and "core" not in at and (k := next((k for k in _WRAPPERS if k in at), None)):
+        above.append((at, k))
+        at = at[k]
+    rest: dict = {}
+    for holder, k in reversed(above):
+        rest = {x: y for x, y in holder.items() if x != k} | ({k: rest} if rest else {})
+    if isinstance(at, dict) and any(k in at for k in ("legacy", "core", "id", "user", "text", "body", "author", "mentions", "hashtags")):
+        return at, rest or None
+    return None, value if at or rest else None
 
 
 def _lists(post: dict) -> tuple[dict | None, str, str]:
@@ -49,7 +61,8 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
     """The objects of one record, bottom-up: (tipo, profundidade, posicao, pai, objeto, conteudo).
 
     ``objeto`` is the hash of the canonical form in which every child object is replaced by its own hash (a Merkle identity), so equal
-    subtrees have equal hashes wherever they occur. A post's children are its mentions, its hashtags and the post it quotes.
+    subtrees have equal hashes wherever they occur. A post's children are its mentions, its hashtags and the post it quotes; what the
+    quoted slot holds around that post, or in place of it, stays in the content.
     Places in a list count every element, nulls too; a lone object in place of a list has place 0; hashtags in one string are taken
     apart at blanks and commas. ``record`` itself is taken apart too.
     """
@@ -57,7 +70,12 @@ def decompose(record: dict) -> list[tuple[str, int, int | None, bytes | None, by
     post: dict | None = record
     while post is not None:
         chain.append(post)
-        post = next((q for k in _QUOTED if k in post and (q := _unwrap(post.pop(k))) is not None), None)
+        holder, post = post, None
+        for k in _QUOTED:
+            if k in holder and post is None:
+                post, rest = _unwrap(holder.pop(k))
+                if rest is not None:
+                    holder[k] = rest
     out = []
     below, last = None, 0
     for depth in range(len(chain) - 1, -1, -1):

@@ -5,11 +5,14 @@ import json
 import random
 import zoneinfo
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from estuario.operators import drift, instants, nested, references, skew
 
+SF = "/root/testdata/sf0.01"
+
 # -- drift
 
 
@@ -180,6 +183,48 @@ def test_mentions_and_identities(spark):
     assert nested.mentions(df.limit(0)).count() == 0
 
 
+def test_quotes_below_limited_wrappers(spark):
+    m = lambda h: {"user_mentions": [{"id_str": "1", "screen_name": h}], "hashtags": [{"text": h}]}
+    wrap = lambda inner: {"quoted_status_result": {"result": {"limited": {"acao": 1}, "tweet": inner}}}
+    gone = {"quoted_status_result": {"result": {"tombstone": {"text": "x"}}}}
+    low = gql(entities=m("C"))
+    rows = [gql(entities=m("A")) | wrap(gql(entities=m("B")) | wrap(low)), low, gql(entities=m("A")) | {"quoted_status_result": {"result": low}}, low | gone]
+    df = spark.createDataFrame([(1, i, json.dumps(r)) for i, r in enumerate(rows)], "arquivo_id bigint, linha int, payload string")
+    want = {(1, 0, 0, 0, "a"), (1, 0, 1, 0, "b"), (1, 0, 2, 0, "c"), (1, 1, 0, 0, "c"), (1, 2, 0, 0, "a"), (1, 2, 1, 0, "c"), (1, 3, 0, 0, "c")}
+    assert {tuple(r) for r in nested.mentions(df).collect()} == want == {tuple(r) for r in nested.hashtags(df).collect()}
+    posts = {(r.linha, r.profundidade): r for r in nested.posts(df).collect()}
+    assert len(posts) == 7 and posts[0, 2].objeto == posts[1, 0].objeto == posts[2, 1].objeto and posts[0, 2].pai == posts[0, 1].objeto
+    # neither the mark of the wrapper nor an unavailable post is lost
+    contents = [r.conteudo for r in nested.split(df)[1].where("tipo = 'postagem'").collect()]
+    assert sum('"limited":{"acao":1}' in c for c in contents) == 2 and sum("tombstone" in c for c in contents) == 1
+
+
+LIMITED = r"""
+WITH RECURSIVE p AS (
+  SELECT arquivo_id, linha, 0 AS profundidade, CAST(payload AS JSON) AS j FROM registro
+  UNION ALL
+  SELECT arquivo_id, linha, profundidade + 1, q
+  FROM (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.quoted_status_result.result.tweet', j->'$.quoted_status_result.result', j->'$.quoted') AS q FROM p)
+  WHERE json_type(q) = 'OBJECT' AND ((q->'$.legacy') IS NOT NULL OR (q->'$.id') IS NOT NULL)),
+l AS (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.legacy.entities.user_mentions', j->'$.mentions') AS m FROM p),
+e AS (SELECT arquivo_id, linha, profundidade, CASE WHEN json_type(m) = 'ARRAY' THEN CAST(m AS JSON[]) WHEN json_type(m) = 'OBJECT' THEN [m] END AS a FROM l),
+x AS (SELECT arquivo_id, linha, profundidade, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS posicao FROM e),
+mencoes AS (SELECT DISTINCT arquivo_id, linha, profundidade, posicao, item->>'$.id_str' AS id_nativo, lower(coalesce(item->>'$.screen_name', item->>'$.username', item->>'$.handle')) AS handle
+  FROM x WHERE json_type(item) <> 'NULL')
+"""
+
+
+def limited(columns):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW registro AS SELECT * FROM read_parquet('{SF}/registro.parquet')")
+    return set(con.execute(f"{LIMITED} {columns}").fetchall())
+
+
+def test_mentions_of_the_tables_against_sql_with_wrappers(spark):
+    want = limited("SELECT arquivo_id, linha, profundidade, posicao, handle FROM mencoes WHERE handle IS NOT NULL")
+    assert {tuple(r) for r in nested.mentions(spark.read.parquet(f"{SF}/registro.parquet")).collect()} == want
+
+
 # -- references
 
 
