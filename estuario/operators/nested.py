@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -162,6 +162,32 @@ def hashtags(registro: DataFrame) -> DataFrame:
     return salted_join(b, named, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha")).select("arquivo_id", "linha", "profundidade", "posicao", "hashtag").distinct()
 
 
+def _string(name: str) -> Column:
+    """The string that ``conteudo`` is, or null."""
+    return F.when(F.col("conteudo").startswith('"'), F.get_json_object(F.concat(F.lit('{"h":'), F.col("conteudo"), F.lit("}")), "$.h")).alias(name)
+
+
+def _with_content(registro: DataFrame, kind: str, *columns: Column) -> DataFrame:
+    """Each occurrence of one kind with its parent and the given columns of its content."""
+    bridges, objects = split(registro, (kind,))
+    b = bridges.select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto")
+    out = salted_join(b, objects.select("objeto", *columns), "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha"))
+    return out.withColumns({"pai": F.hex("pai"), "objeto": F.hex("objeto")})
+
+
+def mention_table(registro: DataFrame) -> DataFrame:
+    """Every mention, with a handle or not: arquivo_id, linha, profundidade, posicao, pai, objeto (hex), id_nativo, handle (lower case)."""
+    f = lambda k: F.get_json_object("conteudo", f"$.{k}")
+    handle = F.lower(F.coalesce(f("screen_name"), f("username"), f("handle"), _string("h"))).alias("handle")
+    return _with_content(registro, "mencao", f("id_str").alias("id_nativo"), handle).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "id_nativo", "handle")
+
+
+def hashtag_table(registro: DataFrame) -> DataFrame:
+    """Every hashtag, with a text or not: arquivo_id, linha, profundidade, posicao, pai, objeto (hex), hashtag (lower case)."""
+    tag = F.lower(F.coalesce(F.get_json_object("conteudo", "$.text"), _string("h"))).alias("hashtag")
+    return _with_content(registro, "hashtag", tag).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "hashtag")
+
+
 def posts(registro: DataFrame) -> DataFrame:
     """Every post with its parent: arquivo_id, linha, profundidade, objeto, pai (hex, null for the record's own post), repeticoes.
 

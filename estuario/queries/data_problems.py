@@ -58,6 +58,22 @@ def p6_postagens(spark: SparkSession, d: str) -> DataFrame:
     return nested.posts(T(spark, d, "registro"))
 
 
+def p6_pontes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.split(T(spark, d, "registro"))[0].withColumns({"pai": F.hex("pai"), "objeto": F.hex("objeto")})
+
+
+def p6_objetos(spark: SparkSession, d: str) -> DataFrame:
+    return nested.split(T(spark, d, "registro"))[1].withColumn("objeto", F.hex("objeto"))
+
+
+def p6_tabela_mencoes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.mention_table(T(spark, d, "registro"))
+
+
+def p6_tabela_hashtags(spark: SparkSession, d: str) -> DataFrame:
+    return nested.hashtag_table(T(spark, d, "registro"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(T(spark, d, "mencao"), T(spark, d, "postagem"), T(spark, d, "conta"))
 
@@ -66,7 +82,7 @@ def p7_relatorio(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(p7_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p7_found, p7_relatorio)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p6_pontes, p6_objetos, p6_tabela_mencoes, p6_tabela_hashtags, p7_found, p7_relatorio)}
 
 _P7 = r"""
 WITH post AS (

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from estuario.operators import drift, instants, nested, references, skew
+from estuario.queries import data_problems
 
 SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 # -- drift
 
@@ -225,6 +227,58 @@ def test_mentions_of_the_tables_against_sql_with_wrappers(spark):
     assert {tuple(r) for r in nested.mentions(spark.read.parquet(f"{SF}/registro.parquet")).collect()} == want
 
 
+def test_flat_tables_hold_every_record(spark):
+    """Bridges and objects against the payloads, taken apart by other means; mentions and hashtags against both."""
+    q = data_problems.QUERIES
+    bridges = q["p6_pontes"](spark, SMALL).collect()
+    objects = {r.objeto: (r.tipo, r.conteudo) for r in q["p6_objetos"](spark, SMALL).collect()}
+    payloads = {}
+    for a, line, text in duckdb.sql(f"SELECT arquivo_id, linha, payload FROM '{SMALL}/registro.parquet'").fetchall():
+        try:
+            v = json.loads(text) if text else None
+        except ValueError:
+            v = None
+        if isinstance(v, dict):
+            payloads[a, line] = v
+    want = {}
+    for key, post in payloads.items():
+        depth = 0
+        while post:
+            holder = post["legacy"].get("entities") or {} if "legacy" in post else post
+            for kind, name in (("mencao", "user_mentions" if "legacy" in post else "mentions"), ("hashtag", "hashtags")):
+                items = holder.get(name)
+                items = items.replace(",", " ").replace(";", " ").split() if isinstance(items, str) and kind == "hashtag" else items if isinstance(items, list) else [items]
+                want |= {(*key, kind, depth, i): x for i, x in enumerate(items) if x is not None}
+            want[(*key, "postagem", depth, 0)] = {k: v for k, v in post.items() if k not in ("legacy", "mentions", "hashtags", "quoted", "quoted_status_result")}
+            below = post.get("quoted") or (post.get("quoted_status_result") or {}).get("result")
+            below = below.get("tweet", below) if below else None
+            post, depth = below if below and ("legacy" in below or "id" in below) else None, depth + 1
+    got = {}
+    for r in bridges:
+        tipo, text = objects[r.objeto]
+        v = json.loads(text)
+        if tipo == "postagem":
+            v = {k: x for k, x in v.items() if k not in ("legacy", "quoted", "quoted_status_result", "@filhos", "@cita")}
+        assert tipo == r.tipo and (r.pai is None) == (r.tipo == "postagem" and r.profundidade == 0)
+        got[r.arquivo_id, r.linha, r.tipo, r.profundidade, r.posicao] = v
+    assert got == want and len(got) == len(bridges) and {r.objeto for r in bridges} == set(objects)
+    post = {(r.arquivo_id, r.linha, r.profundidade): r.objeto for r in bridges if r.tipo == "postagem"}
+    assert all(r.pai == post.get((r.arquivo_id, r.linha, r.profundidade - (r.tipo == "postagem"))) for r in bridges)
+    mentions, tags = q["p6_tabela_mencoes"](spark, SMALL).collect(), q["p6_tabela_hashtags"](spark, SMALL).collect()
+    for kind, rows in (("mencao", mentions), ("hashtag", tags)):
+        place = lambda r: (r.arquivo_id, r.linha, r.profundidade, r.posicao, r.pai, r.objeto)
+        assert sorted(map(place, rows)) == sorted(place(r) for r in bridges if r.tipo == kind)
+    name = lambda x: next((x[k] for k in ("screen_name", "username", "handle") if x.get(k) is not None), None)
+    for r in mentions:
+        x = want[r.arquivo_id, r.linha, "mencao", r.profundidade, r.posicao]
+        assert (r.id_nativo, r.handle) == ((x.get("id_str"), name(x) and name(x).lower()) if isinstance(x, dict) else (None, x.lower()))
+    for r in tags:
+        x = want[r.arquivo_id, r.linha, "hashtag", r.profundidade, r.posicao]
+        x = x.get("text") if isinstance(x, dict) else x
+        assert r.hashtag == (x and x.lower())
+    assert any(r.handle is None for r in mentions) and any(r.id_nativo for r in mentions)
+
+
 # -- references
 
 
