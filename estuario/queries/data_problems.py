@@ -28,6 +28,11 @@ def p3_tabela(spark: SparkSession, d: str) -> DataFrame:
     return drift.one_table(T(spark, d, "registro")).select(*_NEVER_REMOVED, F.array_join("hashtags", ",").alias("hashtags")).distinct()
 
 
+def p3_tabela_completa(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the one table, one row per record."""
+    return drift.one_table(T(spark, d, "registro"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     r = T(spark, d, "v_normalizado").select("arquivo_id", "linha", "created_at")
     return instants.to_instants(r, T(spark, d, "fuso_arquivo")).where(F.col("instante_us").isNotNull()).select("arquivo_id", "linha", "instante_us").distinct()
@@ -82,7 +87,7 @@ def p7_relatorio(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(p7_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p6_pontes, p6_objetos, p6_tabela_mencoes, p6_tabela_hashtags, p7_found, p7_relatorio)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p3_tabela_completa, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p6_pontes, p6_objetos, p6_tabela_mencoes, p6_tabela_hashtags, p7_found, p7_relatorio)}
 
 _P7 = r"""
 WITH post AS (

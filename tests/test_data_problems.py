@@ -75,6 +75,64 @@ def test_one_table_routes_every_record(spark):
     assert r[2].id_nativo is None and r[3].fonte is None and r[4].id_nativo == "12" and r[4].stance_previa == "neutro" and r[4].hashtags == ["a", "b"]
 
 
+OTHER_NAMES = {
+    "graphql": {"lang": "idioma", "language": "idioma", "favorite_count": "likes", "like_count": "likes", "likes": "likes", "retweet_count": "retweets", "quote_count": "quotes", "reply_count": "respostas"},
+    "consolidado": {"like_count": "likes", "likes": "likes", "favorite_count": "likes", "retweet_count": "retweets", "retweets": "retweets", "quote_count": "quotes", "reply_count": "respostas", "stance": "stance_previa", "posicao": "stance_previa"},
+}
+PLAIN = {
+    "graphql": {"core", "legacy", "quoted_status_result"} | {"id_str", "created_at", "full_text", "text", "body", "in_reply_to_status_id_str", "in_reply_to_screen_name", "reply_to_handle", "in_reply_to_user", "is_quote_status", "entities", "place"},
+    "consolidado": {"id", "user", "author", "username", "screen_name", "text", "body", "full_text", "created_at_iso", "in_reply_to_status_id", "in_reply_to_user", "is_quote", "mentions", "hashtags", "quoted", "media"},
+}
+squash = lambda k: k.replace("_", "").lower()
+
+
+def by_hand_columns(v):
+    """The columns that p3_tabela leaves out, from the payload itself; extras as the set of new keys outside core and entities."""
+    fonte = "graphql" if "legacy" in v or "core" in v else "consolidado"
+    known, plain = {squash(k): c for k, c in OTHER_NAMES[fonte].items()}, {squash(k) for k in PLAIN[fonte]}
+    top = v.get("legacy") or {} if fonte == "graphql" else v
+    row = {"fonte": fonte, "idioma": None, "retweets": None, "quotes": None, "respostas": None, "stance_previa": None}
+    for k, x in top.items():
+        c = known.get(squash(k))
+        if c in ("retweets", "quotes", "respostas"):
+            row[c] = None if x is None or x == "" else int(float(x))
+        elif c == "stance_previa":
+            row[c] = (x.get("label") if isinstance(x, dict) else x) or None
+        elif c == "idioma":
+            row[c] = x
+    items = (top.get("entities") or {}).get("user_mentions") if fonte == "graphql" else v.get("mentions")
+    items = items if isinstance(items, list) else [] if items is None else [items]
+    row["mencoes"] = [(m.get("id_str"), next((m[k].lower() for k in ("screen_name", "username", "handle") if m.get(k)), None)) if isinstance(m, dict) else (None, m.lower()) for m in items if m is not None]
+    new = {("legacy." if fonte == "graphql" else "") + k for k in top if squash(k) not in known and squash(k) not in plain}
+    return row, new | ({k for k in v if squash(k) not in plain} if fonte == "graphql" else set())
+
+
+def test_whole_table_against_payloads(spark):
+    rows = data_problems.QUERIES["p3_tabela_completa"](spark, SF).collect()
+    source = duckdb.sql(f"SELECT arquivo_id, linha, payload FROM '{SF}/registro.parquet'").fetchall()
+    assert len(rows) == len(source) and len(rows[0]) == 21
+    payloads = {(a, n): p for a, n, p in source}
+    filled, prints = set(), {}
+    for r in rows:
+        text = payloads[r.arquivo_id, r.linha]
+        try:
+            v = json.loads(text) if text else None
+        except ValueError:
+            v = None
+        if not isinstance(v, dict):
+            assert r.fonte is None and r.impressao is None and r.extras is None
+            continue
+        want, new = by_hand_columns(v)
+        got = {k: r[k] for k in want} | {"mencoes": [tuple(m) for m in r.mencoes]}
+        assert got == want, (got, want, text)
+        extras = {k: x for k, x in json.loads(r.extras or "{}").items() if not k.startswith(("core.", "legacy.entities.", "mentions[]", "hashtags[]"))}
+        holder = {k.removeprefix("legacy."): x for k, x in extras.items()}
+        assert set(extras) == new and all((v.get("legacy", {}).get(k, v.get(k)) if want["fonte"] == "graphql" else v.get(k)) == x for k, x in holder.items()), (extras, new)
+        assert prints.setdefault(r.impressao, r.fonte) == r.fonte
+        filled |= {k for k in (*want, "extras", "impressao") if r[k]}
+    assert filled == {"fonte", "impressao", "idioma", "retweets", "quotes", "respostas", "mencoes", "stance_previa", "extras"} and len(prints) > 10
+
+
 # -- instants
 
 
