@@ -101,12 +101,22 @@ def _in_duckdb(sql: str):
 
 
 def canonical(df: DataFrame, key: str, *texts: str) -> DataFrame:
-    """``key`` and, for each text column, its canonical form under the column's own name. One row per row of ``df``; null stays null."""
+    """``key`` and, for each text column, its canonical form under the column's own name. One row per row of ``df``; null stays null.
+
+    For comparison: a joiner inside a pictogram sequence is U+10FFFF here; ``written`` gives the text itself.
+    """
     s = df.select(key, *texts)
     sql = f"SELECT {key}, {', '.join(f'{canonical_sql(t)} AS {t}' for t in texts)} FROM lote"
     return s.mapInArrow(_in_duckdb(sql), s.schema)
 
 
+def written(df: DataFrame, key: str, *texts: str) -> DataFrame:
+    """Like ``canonical``, for texts to be stored or shown: joiners inside pictogram sequences are joiners again."""
+    s = df.select(key, *texts)
+    sql = f"SELECT {key}, {', '.join(f"replace({canonical_sql(t)}, '{_KEPT}', chr(8205)) AS {t}" for t in texts)} FROM lote"
+    return s.mapInArrow(_in_duckdb(sql), s.schema)
+
+
 def readings(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, forma (hash of the text as stored) and leitura (hash of its canonical form); null texts are left out."""
     sql = f"SELECT {key}, unhex(md5(t)) AS forma, unhex(md5({canonical_sql('t')})) AS leitura FROM lote"

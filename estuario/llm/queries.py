@@ -23,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_canonico(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.canonical(T(spark, d, "postagem"), "postagem_id", "texto", "texto_limpo")
+    return lookalike.written(T(spark, d, "postagem"), "postagem_id", "texto", "texto_limpo")
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:

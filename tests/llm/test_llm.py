@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from estuario.llm import lookalike, mixing, packing, reading, survivorship, tokens
+from estuario.llm import queries as llm_queries
 from estuario.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -94,6 +95,19 @@ def test_canonical_against_hand(spark):
         assert r.texto == by_hand(texts[r.id]), ascii((texts[r.id][:50], r.texto[:50]))
 
 
+def test_written_texts_keep_joiners_of_sequences(spark):
+    rows = [(1, "👨‍👩‍👧 a​b"), (2, "a‍b"), (3, "👩🏽‍💻"), (4, "❤️‍🔥 ｗ"), (5, None)]
+    df = spark.createDataFrame(rows, "id bigint, texto string")
+    got = {r.id: r.texto for r in lookalike.written(df, "id", "texto").collect()}
+    assert got == {1: "👨‍👩‍👧 ab", 2: "ab", 3: "👩🏽‍💻", 4: "❤‍🔥 w", 5: None}
+    # the query's texts against the form made by hand, where that knows every character
+    texts = {r.postagem_id: r.texto for r in table(spark, SF, "postagem").select("postagem_id", "texto").collect()}
+    out = llm_queries.QUERIES["p2_canonico"](spark, SF).collect()
+    assert not any("\U0010ffff" in (r.texto or "") + (r.texto_limpo or "") for r in out)
+    joined = [r for r in out if texts[r.postagem_id] and "‍" in (r.texto or "")]
+    assert len(joined) > 50 and all(" ".join(r.texto.split()) == by_hand(texts[r.postagem_id]).replace("\U0010ffff", "‍") for r in joined)
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(4)
     texts = [rng.choice(["casa", "cаsa", "ca​sa", "rua", "ruа", "mar", None, ""]) for _ in range(120)]
