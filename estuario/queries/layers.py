@@ -53,6 +53,11 @@ def c5_promotable(spark: SparkSession, d: str) -> DataFrame:
     return silver.promotable(silver.deduplicate(_caps(spark, d)), gate, VERSION).select("caso_slug", "id_nativo", "autor_handle")
 
 
+def c5_gated(spark: SparkSession, d: str) -> DataFrame:
+    """The posts that the gate itself lets through; none while every case has a blocking failure."""
+    return silver.promotable(silver.deduplicate(_caps(spark, d)), c9_gate(spark, d), VERSION).select("caso_slug", "id_nativo", "autor_handle")
+
+
 def c6_accounts(spark: SparkSession, d: str) -> DataFrame:
     return silver.accounts(silver.deduplicate(T(spark, d, "v_normalizado")))
 
@@ -178,7 +183,7 @@ def g10_reconcile(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_normalize, c2_tipo_ref, c3_dedup, c4_clean_text, qc_battery, c9_gate, c5_promotable, c6_accounts, c7_mentions, c7_hashtags, c7_prior_labels, k1_new_files, k5_replace, k7_upsert, k8_insert_only,
+        c1_normalize, c2_tipo_ref, c3_dedup, c4_clean_text, qc_battery, c9_gate, c5_promotable, c5_gated, c6_accounts, c7_mentions, c7_hashtags, c7_prior_labels, k1_new_files, k5_replace, k7_upsert, k8_insert_only,
         k10_keep_first, k10_delete, g1_calendar, g2_roles, g3_activity, g4_reference, g5_network, g6_edges, g8_pseudonym, g9_nodes, g10_reconcile,
     )
 }
@@ -252,6 +257,7 @@ ORACLE = {
     "qc_battery": _QC + " SELECT * FROM qc",
     "c9_gate": _QC + " SELECT *, bloqueios = 0 AS pode_promover FROM gate",
     "c5_promotable": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios <= 6)",
+    "c5_gated": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios = 0)",
     "c6_accounts": f"WITH {_ACCOUNTS} SELECT * FROM contas",
     "c7_mentions": "SELECT DISTINCT caso_slug, id_nativo, lower(m.handle) AS handle FROM (SELECT caso_slug, id_nativo, unnest(mencoes) AS m FROM v_normalizado) WHERE m.handle IS NOT NULL",
     "c7_hashtags": "SELECT DISTINCT caso_slug, id_nativo, hashtag FROM (SELECT caso_slug, id_nativo, unnest(hashtags) AS hashtag FROM v_normalizado) WHERE trim(hashtag) <> ''",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from estuario.functions.text import clean_text
 from estuario.operators import constraints, dml, gold, labels, qc, ruler, silver
 from estuario.plans import pipeline
+from estuario.queries import layers
 from estuario.session import table
 from estuario.sources import bronze, sinks
 from estuario.streaming import windows
@@ -211,3 +212,13 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("vol").collect())) == sorted(map(tuple, windows.volumes(e).collect()))
+
+
+def test_gate_itself_opens_and_closes(spark):
+    rows = [("aberto", "bloqueia", True), ("aberto", "alerta", False), ("fechado", "bloqueia", False), ("fechado", "bloqueia", True)]
+    gate = qc.gate(spark.createDataFrame([(*r, layers.VERSION) for r in rows], "caso_slug string, severidade string, aprovado boolean, versao_pipeline string"))
+    posts = spark.createDataFrame([(c, "1", "ana", "t") for c in ("aberto", "fechado", "sem portão")], "caso_slug string, id_nativo string, autor_handle string, texto string")
+    assert [r.caso_slug for r in silver.promotable(posts, gate, layers.VERSION).collect()] == ["aberto"]
+    d = "/root/testdata/sf0.001"
+    want = {r.caso_slug for r in layers.c9_gate(spark, d).where("bloqueios = 0").collect()}
+    assert {r.caso_slug for r in layers.QUERIES["c5_gated"](spark, d).collect()} == want
