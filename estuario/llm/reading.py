@@ -215,20 +215,24 @@ def fit(texts: list[str], levels: list[float], *, ridge: float = 0.5, folds: int
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> tuple[list[str], list[float]]:
-    """Texts and mean levels of at most ``limit`` labelled documents, chosen by a hash of the id; null and impossible levels are left out."""
+    """Texts and mean levels of at most ``limit`` labelled documents, chosen by a hash of the id; null and impossible levels are left out.
+
+    The chosen texts together have at most MAX_TRAINING_CHARS characters: in the order of the hash, one that no longer fits is left
+    out and the next ones are tried. ValueError if there are documents but no text to fit on is left.
+    """
     y = labels.where(F.col("nivel").between(1, LEVELS)).groupBy("doc_id").agg(F.avg("nivel").alias("nivel"))
     # the ids are chosen first, so no task sends the driver more than its share of the chosen texts
-    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "nivel").collect()
-    rows = [(r.text, r.nivel) for r in sorted(rows, key=lambda r: r.doc_id)]
-    texts, levels, left = [], [], MAX_TRAINING_CHARS
-    for t, v in rows:
-        left -= len(t)
-        if left < 0:
-            break
-        texts.append(t)
-        levels.append(float(v))
-    return texts, levels
+    chosen = y.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit)
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "nivel", "_h").collect()
+    kept, left = [], MAX_TRAINING_CHARS
+    for r in sorted(rows, key=lambda r: (r["_h"], r.doc_id)):
+        if len(r.text) <= left:
+            left -= len(r.text)
+            kept.append(r)
+    if not any(sentences(r.text) for r in kept) and not documents.isEmpty():
+        raise ValueError(f"no labelled text with a sentence within {MAX_TRAINING_CHARS} characters to fit on")
+    kept.sort(key=lambda r: r.doc_id)
+    return [r.text for r in kept], [float(r.nivel) for r in kept]
 
 
 _OUT = "doc_id bigint, palavras int, frases int, p1 double, p2 double, p3 double, p4 double, p5 double, dificuldade double, p_dificil double, nivel int"

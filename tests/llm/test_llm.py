@@ -211,3 +211,15 @@ def test_reading_edges(spark):
     assert reading.score(df.limit(0), m).count() == 0
     empty = reading.fit([], [])
     assert reading.score(df, empty).count() == 5
+
+
+def test_training_budget_is_spent_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(reading, "MAX_TRAINING_CHARS", 1000)
+    docs = spark.createDataFrame([(0, "longo " * 1000)] + [(i, f"texto {i:03d} " + "a" * 90) for i in range(1, 60)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.lit(3).alias("nivel"))
+    texts, levels = reading.training_sample(docs, labels)
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id]
+    assert [int(t[6:9]) for t in texts] == sorted(order[: len(texts)]) and len(texts) == len(levels) == 1000 // 100
+    with pytest.raises(ValueError):
+        reading.training_sample(docs.where("doc_id = 0"), labels)
+    assert reading.training_sample(docs.limit(0), labels) == ([], [])
