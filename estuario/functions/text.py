@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # The cleaning chain, in order: pattern and replacement. Java's \s leaves non-breaking spaces, hence the first step.
 CLEANING = [
     (r"\p{Z}", " "),
-    (r"https?://\S+|www\.\S+|pic\.twitter\.com\S*", ""),
-    (r"@\w{1,15}", " "),
+    (r"http\S+|www\S+|pic\.twitter\.com\S+", ""),
+    (r"@([A-Za-z0-9_]{1,15})", " "),
     (r"#[\p{L}\p{N}_]+", " "),
     (r"\s+", " "),
 ]

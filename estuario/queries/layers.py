@@ -253,7 +253,7 @@ ORACLE = {
     "c3_dedup": """SELECT caso_slug, id_nativo, arquivo_id, linha, autor_handle, created_at, texto, tipo_ref, l_ AS likes, r_ AS retweets, q_ AS quotes, s_ AS respostas, c_ AS capturas FROM (
         SELECT *, row_number() OVER (PARTITION BY caso_slug, id_nativo ORDER BY arquivo_id, linha) AS n_, max(likes) OVER w AS l_, max(retweets) OVER w AS r_, max(quotes) OVER w AS q_, max(respostas) OVER w AS s_, count(*) OVER w AS c_
         FROM v_normalizado WINDOW w AS (PARTITION BY caso_slug, id_nativo)) WHERE n_ = 1""",
-    "c4_clean_text": r"""SELECT postagem_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'https?://\S+|www\.\S+|pic\.twitter\.com\S*', '', 'g'), '@\w{1,15}', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g')) AS limpo FROM postagem""",
+    "c4_clean_text": r"""SELECT postagem_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'http\S+|www\S+|pic\.twitter\.com\S+', '', 'g'), '@([A-Za-z0-9_]{1,15})', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g')) AS limpo FROM postagem""",
     "qc_battery": _QC + " SELECT * FROM qc",
     "c9_gate": _QC + " SELECT *, bloqueios = 0 AS pode_promover FROM gate",
     "c5_promotable": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios <= 6)",

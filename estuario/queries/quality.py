@@ -77,7 +77,7 @@ def v2_ruler(spark, d):
 QUERIES = {f.__name__: f for f in (l1_metrics, l2_pending, l3_score, l5_distribution, k12_constraints, k12_unique_handles, k12_unique_native, v1_cleaning_oracle, v2_ruler)}
 
 _DUCK = {"sha256_formato": "regexp_full_match(sha256, '[0-9a-f]{64}')", "idioma_formato": "regexp_full_match(idioma, '[a-z]{2}')"}
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'https?://\S+|www\.\S+|pic\.twitter\.com\S*', '', 'g'), '@\w{1,15}', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'http\S+|www\S+|pic\.twitter\.com\S+', '', 'g'), '@([A-Za-z0-9_]{1,15})', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _m = lambda t, src, key, **ms: " UNION ALL ".join(f"SELECT '{t}' AS tabela, '{m}' AS metrica, coalesce(CAST({key} AS VARCHAR), 'nulo') AS chave, CAST({sql} AS VARCHAR) AS valor FROM {src} GROUP BY ALL" for m, sql in ms.items())
 ORACLE = {
     "l1_metrics": """WITH v AS (SELECT * FROM v_normalizado WHERE stance_previa IS NOT NULL), t AS (SELECT caso_slug, id_nativo, min(stance_previa) AS verdade FROM v GROUP BY 1, 2),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from estuario.functions.text import clean_text
 from estuario.operators import constraints, dml, gold, labels, qc, ruler, silver
 from estuario.plans import pipeline
-from estuario.queries import layers
+from estuario.queries import layers, quality
 from estuario.session import table
 from estuario.sources import bronze, sinks
 from estuario.streaming import windows
@@ -51,9 +51,18 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
 
 def test_clean_text(spark):
     s = "Olá mundo https://t.co/x @ana_b #Tag_1 fim  www.a.b\tpic.twitter.com/z"
+    more = {"httpsss://x y": "y", "http… z": "z", "wwwexemplo.com a": "a", "b pic.twitter.com": "b pic.twitter.com", "pic.twitter.com/k c": "c", "@é d": "@é d", "@abcdefghijklmnopq": "pq", "a\u00a0\u00a0b": "a b"}
+    got = spark.createDataFrame([(t,) for t in more], "t string").select("t", clean_text(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == more
     assert spark.createDataFrame([(s,), (None,)], "t string").select(clean_text(F.col("t")).alias("c")).collect()[0].c == "Olá mundo fim"
 
 
+def test_cleaning_rule_gives_every_stored_text(spark):
+    for d in (SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        rows = quality.QUERIES["v1_cleaning_oracle"](spark, d).collect()
+        assert rows and all(r.parcela == 1.0 and r.iguais == r.postagens for r in rows), (d, rows)
+
+
 CAP = "caso_slug string, id_nativo string, arquivo_id bigint, linha int, autor_handle string, created_at timestamp_ntz, texto string, idioma string, ref_handle string, tipo_ref string, likes int, retweets int, quotes int, respostas int, mencoes array<struct<id_nativo:string,handle:string>>, stance_previa string"
 
 
