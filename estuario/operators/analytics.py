@@ -282,8 +282,8 @@ def newman(matrix: DataFrame, classes: tuple[str, ...], alias: str) -> DataFrame
     return n.join(ab, ["caso", "janela"]).select("caso", "janela", F.col("n").alias(f"n{alias}"), F.round(obs, 6).alias(f"observada{alias}"), F.round(exp, 6).alias(f"esperada{alias}"), F.round((obs - exp) / F.nullif(1 - exp, F.lit(0.0)), 6).alias(f"r{alias}"))
 
 
-def p8_newman(ar: DataFrame) -> DataFrame:
-    m = p8_matrix(ar)
+def p8_newman(m: DataFrame) -> DataFrame:
+    """Both coefficients from one mixing matrix (a few dozen rows, best kept before)."""
     return newman(m, STANCES, "").join(newman(m, STANCES[:2], "_sem_neutro"), ["caso", "janela"], "left")
 
 
@@ -381,12 +381,25 @@ def p11_series(net: DataFrame, cal: DataFrame, ar: DataFrame, narr: DataFrame, r
     return base.withColumn("nd", F.col("n_nos") < LEAST_NODES)
 
 
-def p11_static(net: DataFrame, roles: DataFrame, series: DataFrame) -> DataFrame:
-    """Per case: median Gini (an observed value), share of authors with one post, greatest institutional share, mean target share after the trigger."""
+#: Phases with fewer posts don't count for the range of replies.
+LEAST_POSTS = 30
+
+
+def p11_static(net: DataFrame, roles: DataFrame, series: DataFrame, newman: DataFrame, poles: DataFrame, answers: DataFrame) -> DataFrame:
+    """The seven static signatures per case: median Gini (an observed value), share of authors with one post, greatest institutional share on
+    a day, mean target share after the trigger, assortativity without neutral from the trigger on, leaders' greatest share in a phase,
+    and the least and greatest replies to the target per reply to a third in phases after the trigger."""
     g = net.where(F.col("n_nos") >= LEAST_NODES).groupBy("caso").agg(F.percentile_approx("gini_mencoes_recebidas", 0.5, 1_000_000).alias("gini_mediano"))
     a = roles.where("n_postagens_caso > 0").groupBy("caso").agg(ratio(F.count_if(F.col("n_postagens_caso") == 1), F.count(F.lit(1))).alias("autoras_1_post"))
     s = series.where(~F.col("nd")).groupBy("caso").agg(F.max("parcela_instituicao").alias("instituicao_max"), F.round(F.avg(F.when(F.col("dias_desde_estopim") >= 0, F.col("parcela_alvo"))), 5).alias("alvo_medio"))
-    return g.join(a, "caso").join(s, "caso")
+    n = newman.where("janela = 'desde_estopim'").select("caso", F.round("r_sem_neutro", 6).alias("newman_sem_neutro"))
+    p = poles.groupBy("caso").agg(F.max("parcela_lideres").alias("lideres_max"))
+    after = answers.where((F.col("fase") != PHASES[0]) & (F.col("postagens") >= LEAST_POSTS)).groupBy("caso")
+    r = after.agg(F.min("razao_alvo_terceiros").alias("razao_replies_min"), F.max("razao_alvo_terceiros").alias("razao_replies_max"))
+    out = g.join(a, "caso").join(s, "caso")
+    for part in (n, p, r):
+        out = out.join(part, "caso", "left")
+    return out
 
 
 def p11_direction(series: DataFrame, cal: DataFrame) -> DataFrame:

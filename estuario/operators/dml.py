@@ -46,6 +46,30 @@ def delete_where(target: DataFrame, doomed: DataFrame, keys: list[str]) -> DataF
     return target.join(doomed.select(*keys), keys, "left_anti")
 
 
+def update(target: DataFrame, **values: Column) -> DataFrame:
+    """The whole table with the given columns set anew, in their own types."""
+    kinds = dict(target.dtypes)
+    return target.withColumns({c: v.cast(kinds[c]) for c, v in values.items()})
+
+
+def quarantine(target: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, set aside): the first row per key in ``order``, and all others, to be written to a table of their own before the target is."""
+    n = target.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return n.where("_n = 1").drop("_n"), n.where("_n > 1").drop("_n")
+
+
+def described(df: DataFrame, comments: dict[str, str]) -> DataFrame:
+    """The frame with column comments in the metadata of its fields, as a view's definition would carry them; columns without one stay as they are."""
+    return df.select(*[F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns])
+
+
+def create_view(df: DataFrame, name: str, comments: dict[str, str] | None = None) -> DataFrame:
+    """Registers (or replaces) the frame as a view of the session, with column comments."""
+    out = described(df, comments or {})
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def new_files(inventory: DataFrame, known: DataFrame, key: str = "sha256") -> DataFrame:
     """Files whose content is not known yet, whatever their name; one of several with equal content."""
     return keep_first(inventory.join(known.select(key), key, "left_anti"), [key], ["uri"])

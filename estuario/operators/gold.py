@@ -16,7 +16,7 @@ CASES = [
     ("relogio_parado", "2024-10-24", 5),
 ]
 PHASES = ("pre_crise", "estopim", "escalada", "pico", "declinio", "pos_rito")
-UNLABELLED = "sem_rotulo"
+UNLABELLED, UNKNOWN_KIND, NO_VERSION = "sem_rotulo", "desconhecido", "nenhuma"
 
 
 def cases(spark: SparkSession) -> DataFrame:
@@ -30,7 +30,7 @@ def calendar(posts: DataFrame, cases: DataFrame) -> DataFrame:
     The peak is the day of greatest volume on or after the trigger, the earliest on a tie. Phases by precedence: before the trigger,
     the trigger day, before the peak, the peak, at least a quarter of the peak's volume (cut to an integer), after.
     """
-    v = posts.where(F.col("created_at").isNotNull()).groupBy(F.col("caso_slug").alias("caso"), F.to_date("created_at").alias("data")).agg(F.count(F.lit(1)).alias("volume_postagens"))
+    v = posts.where(F.col("created_at").isNotNull()).groupBy(F.lower("caso_slug").alias("caso"), F.to_date("created_at").alias("data")).agg(F.count(F.lit(1)).alias("volume_postagens"))
     v = v.join(F.broadcast(cases.select("caso", "estopim")), "caso").withColumn("dias_desde_estopim", F.datediff("data", "estopim"))
     w = W.partitionBy("caso")
     best = F.max(F.when(F.col("dias_desde_estopim") >= 0, F.struct(F.col("volume_postagens").alias("v"), (-F.col("dias_desde_estopim")).alias("d")))).over(w)
@@ -66,23 +66,23 @@ def labels(norm: DataFrame, posts: DataFrame, version: str = "v1") -> DataFrame:
 
 def labelled(posts: DataFrame, labels: DataFrame, version: str = "v1") -> DataFrame:
     """The posts with stance of one label version; without a label the named sentinel. One version only, so that rows are never multiplied."""
-    lab = labels.where(F.col("versao") == version).select("postagem_id", F.col("rotulo").alias("stance"))
-    return posts.select("postagem_id", F.col("caso_slug").alias("caso"), F.to_date("created_at").alias("data"), F.col("autor_conta_id").alias("autor"), "id_nativo", F.coalesce("tipo_ref", F.lit("original")).alias("tipo_ref"), "ref_conta_id").join(lab, "postagem_id", "left").fillna({"stance": UNLABELLED})
+    lab = labels.where(F.col("versao") == version).select("postagem_id", F.col("rotulo").alias("stance"), F.col("versao").alias("versao_classificacao"))
+    return posts.select("postagem_id", F.col("caso_slug").alias("caso"), F.to_date("created_at").alias("data"), F.col("autor_conta_id").alias("autor"), "id_nativo", F.coalesce("tipo_ref", F.lit(UNKNOWN_KIND)).alias("tipo_ref"), "ref_conta_id").join(lab, "postagem_id", "left").fillna({"stance": UNLABELLED, "versao_classificacao": NO_VERSION})
 
 
 def activity(stanced: DataFrame, captures: DataFrame, cal: DataFrame) -> DataFrame:
-    """Posts, distinct authors and sums of each post's greatest counters by case, day, stance and reference kind."""
+    """Posts, distinct authors and sums of each post's greatest counters by case, day, stance, reference kind and label version."""
     best = captures.groupBy(F.col("caso_slug").alias("caso"), "id_nativo").agg(*[F.max(c).cast("bigint").alias(c) for c in ("likes", "retweets", "quotes", "respostas")])
-    j = stanced.join(best, ["caso", "id_nativo"], "left").groupBy("caso", "data", "stance", "tipo_ref")
+    j = stanced.join(best, ["caso", "id_nativo"], "left").groupBy("caso", "data", "stance", "tipo_ref", "versao_classificacao")
     g = j.agg(F.count(F.lit(1)).alias("n_postagens"), F.countDistinct("autor").alias("n_autores_distintos"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("likes", "retweets", "quotes", "respostas")])
     return g.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
 def references(stanced: DataFrame, cases: DataFrame, cal: DataFrame) -> DataFrame:
-    """Posts and authors by case, day, reference kind, addressee (alvo, terceiros, nao_se_aplica) and stance."""
+    """Posts and authors by case, day, reference kind, addressee (alvo, terceiros, nao_se_aplica), stance and label version."""
     s = stanced.join(F.broadcast(cases.select("caso", "alvo_conta_id")), "caso", "left")
     to = F.when(F.col("tipo_ref") != "reply", "nao_se_aplica").when(F.col("ref_conta_id") == F.col("alvo_conta_id"), "alvo").otherwise("terceiros")
-    g = s.withColumn("destinatario", to).groupBy("caso", "data", "tipo_ref", "destinatario", "stance").agg(F.count(F.lit(1)).alias("n_postagens"), F.countDistinct("autor").alias("n_autores_distintos"))
+    g = s.withColumn("destinatario", to).groupBy("caso", "data", "tipo_ref", "destinatario", "stance", "versao_classificacao").agg(F.count(F.lit(1)).alias("n_postagens"), F.countDistinct("autor").alias("n_autores_distintos"))
     return g.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
@@ -137,6 +137,31 @@ def edges(pairs: DataFrame, stanced: DataFrame, roles: DataFrame, cal: DataFrame
     return e.join(cal.select("caso", "data", "dias_desde_estopim", "fase"), ["caso", "data"], "left")
 
 
+def reconciliation(posts: DataFrame, pairs: DataFrame, activity: DataFrame, network: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """verificacao, caso, esquerda, direita, confere: posts of the fact and of the source; mentions of the network, of the edges and of the
+    source; edges of both; edges whose source is the target (none expected); pseudonyms and nodes of the public view.
+
+    A side without rows counts as 0, so a case that is in one layer alone does not agree.
+    """
+    one = F.count(F.lit(1))
+    per = lambda df, check, a, b: df.groupBy("caso").agg(a.cast("bigint").alias("esquerda"), b.cast("bigint").alias("direita")).withColumn("verificacao", F.lit(check))
+    none = F.lit(0)
+    p, m = posts.select(F.col("caso_slug").alias("caso")), pairs.select("caso")
+    sides = [
+        per(activity, "postagens", F.sum("n_postagens"), none), per(p, "postagens", none, one),
+        per(network, "mencoes_rede", F.sum("n_mencoes"), none), per(m, "mencoes_rede", none, one),
+        per(edges, "mencoes_arestas", F.sum("peso"), none), per(m, "mencoes_arestas", none, one),
+        per(edges, "pares_arestas", one, none), per(network, "pares_arestas", none, F.sum("n_arestas")),
+        per(edges, "alvo_como_origem", F.count_if(F.col("papel_origem") == "alvo"), none),
+        per(nodes, "pseudonimo_unico", F.countDistinct("id"), one),
+    ]
+    both = sides[0]
+    for s in sides[1:]:
+        both = both.unionByName(s)
+    g = both.groupBy("verificacao", "caso").agg(F.sum("esquerda").alias("esquerda"), F.sum("direita").alias("direita"))
+    return g.withColumn("confere", F.col("esquerda") == F.col("direita"))
+
+
 def published_edges(edges: DataFrame, salt: str) -> DataFrame:
     """The public edge view: pseudonyms instead of accounts, no text, no handle."""
     return edges.select("caso", "data", "dias_desde_estopim", "fase", pseudonym(F.col("origem_conta_id"), salt).alias("source"), pseudonym(F.col("destino_conta_id"), salt).alias("target"), F.col("peso").alias("weight"), "stance_origem", "papel_origem", "papel_destino")

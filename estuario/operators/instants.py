@@ -18,7 +18,7 @@ ABBREVIATIONS = {
     "JST": 540, "KST": 540, "BRT": -180, "BRST": -120, "ART": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
 }
 
-#: The zone intervals cover these years; a wall time outside them takes the offset of the nearest interval.
+#: The zone intervals cover these years; a wall time outside them is converted by the session's own zone rules.
 YEARS = (1970, 2100)
 
 # Each notation is rewritten to "year,month,day,hour,minute,second,fraction,half day,zone"; what is missing stays empty.
@@ -107,7 +107,8 @@ def to_instants(records: DataFrame, zones: DataFrame, *, text: str = "created_at
     ``zones`` gives one fuso per ``key``. A text with its own offset needs no zone. A wall time without offset is looked up among the
     intervals of its zone (as-of join by zone and year): one interval gives the offset; two are ``ambigua`` and the
     earlier instant is taken; none is ``inexistente`` and the wall time moves forward by the length of the gap, that is the offset
-    before the gap applies. ``situacao``: explicita, unica, ambigua, inexistente, sem_fuso (no zone known: UTC is not guessed, the instant
+    before the gap applies. A wall time outside ``years`` is fora_da_tabela: there the session's zone rules convert it one by one, which gives the same
+    instants without a table of intervals. ``situacao``: explicita, unica, ambigua, inexistente, fora_da_tabela, sem_fuso (no zone known: UTC is not guessed, the instant
     stays null) or ilegivel (null, blank, relative or impossible text; null instant). All records are kept, repeated ones too, with
     their other columns; fuso, instante_us and situacao are replaced.
     """
@@ -123,10 +124,12 @@ def to_instants(records: DataFrame, zones: DataFrame, *, text: str = "created_at
     before = F.filter("_intervalos", lambda i: i["ate"] <= wall)
     pick = F.when(F.size(holds) > 0, holds[0]["deslocamento"]).when(F.size(before) > 0, F.try_element_at(before, F.lit(-1))["deslocamento"])
     own = F.col("_deslocamento_us")
+    outside = (wall < F.lit((years[0] - 1970) * 31_556_952_000_000 + 86_400_000_000 * 2)) | (wall >= F.lit((years[1] - 1970) * 31_556_952_000_000 - 86_400_000_000 * 2))
+    far = F.when(F.col("_intervalos").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), F.col("fuso"))))
     return j.withColumns(
         {
             # a conditional, so that a filter on the result isn't pushed below the join, where it would parse each text twice
-            "instante_us": F.when(wall.isNotNull(), wall - F.coalesce(own, pick)),
-            "situacao": F.when(wall.isNull(), "ilegivel").when(own.isNotNull(), "explicita").when(F.col("_intervalos").isNull(), "sem_fuso").when(F.size(holds) == 0, "inexistente").when(F.size(holds) > 1, "ambigua").otherwise("unica"),
+            "instante_us": F.when(wall.isNotNull(), F.when(own.isNull() & outside, far).otherwise(wall - F.coalesce(own, pick))),
+            "situacao": F.when(wall.isNull(), "ilegivel").when(own.isNotNull(), "explicita").when(F.col("_intervalos").isNull(), "sem_fuso").when(outside, "fora_da_tabela").when(F.size(holds) == 0, "inexistente").when(F.size(holds) > 1, "ambigua").otherwise("unica"),
         }
     ).drop("_parede_us", "_deslocamento_us", "_ano", "_intervalos")

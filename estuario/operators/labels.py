@@ -59,6 +59,7 @@ def metrics(pairs: DataFrame) -> DataFrame:
 
 
 def distribution(labelled: DataFrame) -> DataFrame:
-    """caso, stance, n, parcela of the case."""
-    g = labelled.groupBy("caso", "stance").agg(F.count(F.lit(1)).alias("n"))
+    """caso, stance, n, parcela of the case and, where labels carry a confianca, its mean."""
+    mean = [F.round(F.avg("confianca"), 6).alias("confianca_media")] if "confianca" in labelled.columns else []
+    g = labelled.groupBy("caso", "stance").agg(F.count(F.lit(1)).alias("n"), *mean)
     return g.withColumn("parcela", ratio(F.col("n"), F.sum("n").over(W.partitionBy("caso"))))

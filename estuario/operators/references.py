@@ -23,7 +23,7 @@ def surrogate_key(c: Column) -> Column:
     return F.when(c > 0, c.cast("string"))
 
 
-def broken_references(refs: DataFrame, parents: DataFrame, *, salts: int = 16, keys: DataFrame | None = None) -> DataFrame:
+def broken_references(refs: DataFrame, parents: DataFrame, *, salts: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Each reference without a living parent at its time, with the reason.
 
     ``refs``: dominio, chave, tabela, coluna, registro_id, periodo, visto_em. ``parents``: dominio, chave, valido_de, apagada.
@@ -45,7 +45,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, *, salts: int = 16, k
     return j.withColumn("motivo", reason).where(F.col("motivo").isNotNull()).select("tabela", "coluna", "registro_id", "periodo", "motivo").distinct()
 
 
-def orphan_references(mencao: DataFrame, postagem: DataFrame, conta: DataFrame, *, salts: int = 16) -> DataFrame:
+def orphan_references(mencao: DataFrame, postagem: DataFrame, conta: DataFrame, *, salts: int | None = None) -> DataFrame:
     """The broken references of mentions and posts: tabela, coluna, registro_id, periodo (UTC day of the post), motivo."""
     day = F.date_format("created_at", "yyyy-MM-dd")
     ntz = lambda c: F.col(c).cast("timestamp_ntz")

@@ -7,18 +7,29 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of the rows on; so there are at most 1 / HOT_SHARE hot keys, which bounds what is broadcast.
+#: A key counts as hot from this share of the rows on, or from the share of one shuffle partition where there are more partitions than that.
 HOT_SHARE = 1 / 256
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """The keys that hold at least ``share`` of the non-null rows; at most ``1 / share`` rows.
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None, salts: int | None = None) -> DataFrame:
+    """The keys that hold at least ``share`` of the non-null rows, with the number of salts each needs: ``key``, _sais.
+
+    By default a key is hot if it holds 1/256 of the rows, or more than an average shuffle partition where there are more partitions
+    than 256; so there are at most max(256, partitions) rows. A key gets as many salts as it holds half partitions, so its parts are no
+    larger than others, whatever the size of the data; ``salts`` fixes the number instead.
     Counted exactly, with map-side partial counts, over all rows. Nulls never match in an equi-join and are left out.
     """
+    p = partitions(df)
+    share = share if share is not None else min(HOT_SHARE, 1 / p)
     n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_t"))
-    return n.where(F.col("_n") >= total.scalar() * F.lit(share)).select(key)
+    total = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("_t")).scalar()
+    need = F.lit(salts) if salts else F.greatest(F.lit(2), F.ceil(F.col("_n") * F.lit(2 * p) / total))
+    return n.where(F.col("_n") >= total * F.lit(share)).select(key, need.cast("int").alias("_sais"))
 
 
 def salted_join(
@@ -26,28 +37,25 @@ def salted_join(
     right: DataFrame,
     key: str,
     *,
-    salts: int = 16,
+    salts: int | None = None,
     how: str = "left",
     spread: Column | None = None,
-    share: float = HOT_SHARE,
+    share: float | None = None,
     hot_from: DataFrame | None = None,
     right_aggs: list[Column] | None = None,
 ) -> DataFrame:
-    """Equi-join on ``key`` as a sort-merge join in which the rows of hot keys of ``left`` are spread over ``salts`` partitions.
+    """Equi-join on ``key`` as a sort-merge join in which the rows of each hot key of ``left`` are spread over its salts (see :func:`hot_keys`).
 
-    The rows of ``right`` that have a hot key (at most ``1 / share`` keys) are repeated ``salts`` times. With ``right_aggs`` the right
+    The rows of ``right`` that have a hot key are repeated once per salt of it. With ``right_aggs`` the right
     side is first reduced to one row per key, in the same exchange as the join. ``hot_from`` (a frame with ``key``) finds the hot
     keys where computing ``left`` twice would be dear. ``spread`` chooses the salt of a left row (default: a hash of the whole row).
     Null keys match nothing. ``how`` is left, inner, left_semi or left_anti. Empty inputs give an empty (or unmatched) result.
     """
-    h = F.broadcast(hot_keys(left if hot_from is None else hot_from, key, share).select(F.col(key).alias("_hk")))
+    # bounded: at most max(256, shuffle partitions) rows
+    h = F.broadcast(hot_keys(left if hot_from is None else hot_from, key, share, salts).select(F.col(key).alias("_hk"), "_sais"))
     spread = F.xxhash64(*left.columns) if spread is None else spread
-    lt = left.join(h, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.when(F.col("_hk").isNotNull(), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hk")
-    rt = (
-        right.join(h, F.col(key) == F.col("_hk"), "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hk")
-    )
+    lt = left.join(h, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_sais")).cast("int"), F.lit(0))).drop("_hk", "_sais")
+    rt = right.join(h, F.col(key) == F.col("_hk"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_sais", F.lit(1)) - 1))).drop("_hk", "_sais")
     if right_aggs:
         rt = rt.where(F.col(key).isNotNull()).groupBy(key, "_salt").agg(*right_aggs)
     return lt.join(rt.hint("merge"), [key, "_salt"], how).drop("_salt")
@@ -110,7 +118,12 @@ def accounts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def heavy_accounts(edges: DataFrame, mentions: DataFrame, share: float = 0.01) -> DataFrame:
-    """Accounts that receive at least ``share`` of all rows of the edge table (rows without destination count in the total)."""
-    total = edges.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return accounts(edges, mentions).where(F.col("arestas") >= total * F.lit(share)).select("destino_conta_id")
+def heavy_accounts(edges: DataFrame, share: float = 0.01) -> DataFrame:
+    """Accounts that receive at least ``share`` of all rows of the edge table (rows without destination count in the total).
+
+    Both sides of the comparison are compact states of :class:`Side`: the edges by account, and the whole table as one row, which is
+    joined to all of them (one row, broadcast) and compared by multiplication. Repeated rows count; an empty table gives no account.
+    """
+    e = edges.select("destino_conta_id", F.lit(0).alias("_tudo"))
+    per, all_ = Side(e, "destino_conta_id", "arestas").compact(), Side(e, "_tudo", "linhas").compact()
+    return per.join(F.broadcast(all_.select("linhas")), F.col("arestas") >= F.col("linhas") * F.lit(share)).select(F.col("_key").alias("destino_conta_id"))

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from ..operators import analytics as an
 from ..operators import gold
+from ..session import keep
 from .layers import ARESTAS, ATIV, PAPEL, REDE, REFS, layer
 
 
 class Inputs:
     def __init__(self, spark, d):
-        g = layer(spark, d)
-        self.cal, self.roles, self.act, self.ref, self.net, self.ar = g.cal, g.roles, g.activity, g.references, g.network, g.edges_given
-        self.narr = an.narrative_roles(spark)
-        self.leaders = an.p10_leaders(self.ar, self.roles)
-        self.series = an.p11_series(self.net, self.cal, self.ar, self.narr, self.ref, self.act, self.leaders)
+        self.layer, self.narr = layer(spark, d), an.narrative_roles(spark)
+
+    # each fact is written once at the layer's edge, when the first question asks for it
+    cal = cached_property(lambda self: keep(self.layer.cal, "cal"))
+    roles = cached_property(lambda self: keep(self.layer.roles, "papel"))
+    act = cached_property(lambda self: keep(self.layer.activity, "atividade"))
+    ref = cached_property(lambda self: keep(self.layer.references, "referencia"))
+    net = cached_property(lambda self: keep(self.layer.network, "rede"))
+    ar = cached_property(lambda self: keep(self.layer.edges_given, "arestas"))
+    leaders = cached_property(lambda self: keep(an.p10_leaders(self.ar, self.roles), "lideres"))
+    matrix = cached_property(lambda self: keep(an.p8_matrix(self.ar), "matriz"))
+    newman = cached_property(lambda self: keep(an.p8_newman(self.matrix), "newman"))
+    poles = cached_property(lambda self: keep(an.p10_pole_phase(self.ar, self.leaders), "polos"))
+    answers = cached_property(lambda self: keep(an.p9_phase(self.ref, self.net, self.cal), "respostas"))
+    series = cached_property(lambda self: keep(an.p11_series(self.net, self.cal, self.ar, self.narr, self.ref, self.act, self.leaders), "series"))
 
 
 @lru_cache(8)
@@ -42,8 +53,8 @@ _ARGS = {
     "ana_p7_dia": (an.p7_day, "act"),
     "ana_p7_fase": (an.p7_phase, "act"),
     "ana_p8_mix": (an.p8_mix, "ar"),
-    "ana_p8_matriz": (an.p8_matrix, "ar"),
-    "ana_p8_newman": (an.p8_newman, "ar"),
+    "ana_p8_matriz": (lambda m: m, "matrix"),
+    "ana_p8_newman": (an.p8_newman, "matrix"),
     "ana_p8_autores": (an.p8_to_authors, "ar"),
     "ana_p9_dia": (an.p9_day, "ref net"),
     "ana_p9_fase": (an.p9_phase, "ref net cal"),
@@ -53,7 +64,7 @@ _ARGS = {
     "ana_p10_polo_fase": (an.p10_pole_phase, "ar leaders"),
     "ana_p10_tensao": (an.p10_tension, "ar leaders"),
     "ana_p11_series": (lambda s: s, "series"),
-    "ana_p11_estaticas": (an.p11_static, "net roles series"),
+    "ana_p11_estaticas": (an.p11_static, "net roles series newman poles answers"),
     "ana_p11_direcao": (an.p11_direction, "series cal"),
     "ana_p11_sinal": (lambda s, c: an.p11_same_sign(an.p11_direction(s, c)), "series cal"),
     "g7_papeis_narrativos": (lambda n: n, "narr"),
@@ -118,6 +129,9 @@ _newman = lambda cls, a: f"""(SELECT x.caso, x.janela, x.n AS n{a}, round(x.t /
 _P6 = {"volume": "volume_postagens", "mencoes_alvo": "mencoes_alvo", "isolamento": "isolamento_alvo", "centralizacao": "centralizacao_grau_entrada", "hhi": "hhi_mencoes_recebidas", "gini": "gini_mencoes_recebidas"}
 _P6PK = ", ".join(f"max(CASE WHEN k_{n} = 1 THEN dias_desde_estopim END) AS pico_{n}" for n in _P6)
 _P6RN = ", ".join(f"row_number() OVER (PARTITION BY caso, janela ORDER BY {c} DESC, dias_desde_estopim) AS k_{n}" for n, c in _P6.items())
+_P9_FASE = f"""SELECT *, {_r("replies_alvo", "postagens")} AS parcela_alvo, {_r("replies_terceiros", "postagens")} AS parcela_terceiros, {_r("replies_alvo", "replies_terceiros")} AS razao_alvo_terceiros
+       FROM (SELECT caso, fase, {_s("n_postagens")} AS postagens, {_s("CASE WHEN destinatario = 'alvo' THEN n_postagens ELSE 0 END")} AS replies_alvo, {_s("CASE WHEN destinatario = 'terceiros' THEN n_postagens ELSE 0 END")} AS replies_terceiros FROM refs GROUP BY 1, 2)
+       JOIN (SELECT caso, fase, round(avg(isolamento_alvo), 6) AS isolamento_medio, round(min(isolamento_alvo), 6) AS isolamento_min, round(max(isolamento_alvo), 6) AS isolamento_max, count(*) AS dias_fase FROM rede JOIN cal USING (caso, data) GROUP BY 1, 2) USING (caso, fase)"""
 SELECTS = {
     "ana_p1_dia": f"SELECT cal.*, {_r('volume_postagens', 'max(CASE WHEN dias_desde_estopim >= 0 THEN volume_postagens END) OVER (PARTITION BY caso)')} AS fracao_do_pico, isodow(data) >= 6 AS fim_de_semana FROM cal",
     "ana_p1_resumo": """SELECT caso, min(data) AS inicio_coleta, max(data) AS fim_coleta, count(*) AS dias_coletados, count(*) FILTER (fase = 'pre_crise') AS dias_pre_crise, round(avg(volume_postagens) FILTER (fase = 'pre_crise'), 6) AS media_pre_crise,
@@ -170,9 +184,7 @@ SELECTS = {
        {_s("CASE WHEN papel_destino = 'alvo' THEN peso ELSE 0 END")} AS mencoes_ao_alvo FROM gj LEFT JOIN (SELECT DISTINCT caso, origem_conta_id AS o FROM grafo) a ON a.caso = gj.caso AND a.o = destino_conta_id GROUP BY 1, 2)""",
     "ana_p9_dia": f"""SELECT caso, data, replies_alvo, postagens_dia, {_r("replies_alvo", "postagens_dia")} AS parcela_replies_alvo, isolamento_alvo, n_nos, n_nos < 30 AS nd
        FROM (SELECT caso, data, {_s("CASE WHEN destinatario = 'alvo' THEN n_postagens ELSE 0 END")} AS replies_alvo, {_s("n_postagens")} AS postagens_dia FROM refs GROUP BY 1, 2) JOIN rede USING (caso, data)""",
-    "ana_p9_fase": f"""SELECT *, {_r("replies_alvo", "postagens")} AS parcela_alvo, {_r("replies_terceiros", "postagens")} AS parcela_terceiros, {_r("replies_alvo", "replies_terceiros")} AS razao_alvo_terceiros
-       FROM (SELECT caso, fase, {_s("n_postagens")} AS postagens, {_s("CASE WHEN destinatario = 'alvo' THEN n_postagens ELSE 0 END")} AS replies_alvo, {_s("CASE WHEN destinatario = 'terceiros' THEN n_postagens ELSE 0 END")} AS replies_terceiros FROM refs GROUP BY 1, 2)
-       JOIN (SELECT caso, fase, round(avg(isolamento_alvo), 6) AS isolamento_medio, round(min(isolamento_alvo), 6) AS isolamento_min, round(max(isolamento_alvo), 6) AS isolamento_max, count(*) AS dias_fase FROM rede JOIN cal USING (caso, data) GROUP BY 1, 2) USING (caso, fase)""",
+    "ana_p9_fase": _P9_FASE,
     "ana_p10_mencionadas": """SELECT caso, CAST(posicao AS INTEGER) AS posicao, conta_id, n_mencoes_recebidas_caso, n_postagens_caso, stance_modal, mencoes_emitidas, papel_inicial, papel_final, dia_virada, coalesce(stance_modal = 'acusador', false) AS lider_regra, coalesce(papel_inicial LIKE 'lider%', false) AS lider_narrativa
        FROM (SELECT *, row_number() OVER (PARTITION BY caso ORDER BY n_mencoes_recebidas_caso DESC, conta_id) AS posicao FROM papel WHERE papel_principal <> 'alvo') LEFT JOIN ma USING (caso, conta_id) LEFT JOIN narr USING (caso, conta_id) WHERE posicao <= 10""",
     "ana_p10_lideres": "SELECT * FROM lid",
@@ -186,9 +198,12 @@ SELECTS = {
        SELECT coalesce(e.caso, r.caso) AS caso, coalesce(e.rotulo, r.rotulo) AS rotulo, coalesce(e.fase, r.fase) AS fase, coalesce(emitidas, 0) AS emitidas, dias_ativos, por_dia, destinos, parcela_ao_alvo, parcela_acusadora, coalesce(recebidas, 0) AS recebidas
        FROM e FULL JOIN r ON e.caso = r.caso AND e.rotulo = r.rotulo AND e.fase IS NOT DISTINCT FROM r.fase""",
     "ana_p11_series": "SELECT * FROM se",
-    "ana_p11_estaticas": f"""SELECT caso, gini_mediano, autoras_1_post, instituicao_max, alvo_medio FROM (SELECT caso, quantile_disc(gini_mencoes_recebidas, 0.5) AS gini_mediano FROM rede WHERE n_nos >= 30 GROUP BY 1)
+    "ana_p11_estaticas": f"""SELECT caso, gini_mediano, autoras_1_post, instituicao_max, alvo_medio, newman_sem_neutro, lideres_max, razao_replies_min, razao_replies_max FROM (SELECT caso, quantile_disc(gini_mencoes_recebidas, 0.5) AS gini_mediano FROM rede WHERE n_nos >= 30 GROUP BY 1)
        JOIN (SELECT caso, {_r("count(*) FILTER (n_postagens_caso = 1)", "count(*)")} AS autoras_1_post FROM papel WHERE n_postagens_caso > 0 GROUP BY 1) USING (caso)
-       JOIN (SELECT caso, max(parcela_instituicao) AS instituicao_max, round(avg(parcela_alvo) FILTER (dias_desde_estopim >= 0), 5) AS alvo_medio FROM se WHERE NOT nd GROUP BY 1) USING (caso)""",
+       JOIN (SELECT caso, max(parcela_instituicao) AS instituicao_max, round(avg(parcela_alvo) FILTER (dias_desde_estopim >= 0), 5) AS alvo_medio FROM se WHERE NOT nd GROUP BY 1) USING (caso)
+       LEFT JOIN (SELECT caso, r_sem_neutro AS newman_sem_neutro FROM {_newman(an.STANCES[:2], "_sem_neutro")} WHERE janela = 'desde_estopim') USING (caso)
+       LEFT JOIN (SELECT caso, max(p) AS lideres_max FROM (SELECT caso, fase, {_r("sum(CASE WHEN l THEN peso ELSE 0 END)", "sum(peso)")} AS p FROM po GROUP BY 1, 2) GROUP BY 1) USING (caso)
+       LEFT JOIN (SELECT caso, min(razao_alvo_terceiros) AS razao_replies_min, max(razao_alvo_terceiros) AS razao_replies_max FROM ({_P9_FASE}) WHERE fase <> 'pre_crise' AND postagens >= 30 GROUP BY 1) USING (caso)""",
     "ana_p11_direcao": "SELECT * FROM dv",
     "ana_p11_sinal": "SELECT assinatura, "
     + ", ".join(f"max(variacao_pp) FILTER (caso = '{c}') AS {c}" for c, *_ in gold.CASES)

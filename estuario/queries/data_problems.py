@@ -44,7 +44,7 @@ def p4_situacoes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_accounts(T(spark, d, "grafo_arestas"), T(spark, d, "mencao"))
+    return skew.heavy_accounts(T(spark, d, "grafo_arestas"))
 
 
 def p5_contas(spark: SparkSession, d: str) -> DataFrame:

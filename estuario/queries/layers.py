@@ -180,9 +180,45 @@ def g10_reconcile(spark, d):
     return a.join(b, ["caso", "data"], "full").where(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0)))
 
 
+def g10_checks(spark, d):
+    """The five reconciliations between layers per case: two sides and whether they agree."""
+    g = layer(spark, d)
+    return gold.reconciliation(g.posts, g.pairs, g.activity, g.network, g.edges, gold.published_nodes(g.roles, g.stanced, SALT))
+
+
+def k9_update(spark: SparkSession, d: str) -> DataFrame:
+    return dml.update(T(spark, d, "postagem").select("postagem_id", "texto", "texto_limpo"), texto_limpo=clean_text(F.col("texto"))).drop("texto")
+
+
+def k11_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Both parts of the mentions: those kept and those set aside, each with its mark."""
+    kept, aside = dml.quarantine(T(spark, d, "mencao"), ["postagem_id", "conta_id"], ["mencao_id"])
+    return kept.withColumn("destino", F.lit("mantida")).unionByName(aside.withColumn("destino", F.lit("quarentena")))
+
+
+def k13_view(spark: SparkSession, d: str) -> DataFrame:
+    dml.create_view(T(spark, d, "postagem").select("caso_slug", "postagem_id", clean_text(F.col("texto")).alias("texto_limpo")), "v_texto_limpo", {"texto_limpo": "texto sem links, contas e hashtags"})
+    return spark.sql("SELECT caso_slug, count(*) AS postagens, count(texto_limpo) AS com_texto, sum(length(texto_limpo)) AS caracteres FROM v_texto_limpo GROUP BY caso_slug")
+
+
+def c8_required(spark: SparkSession, d: str) -> DataFrame:
+    """Each case of the files (a handful) with what the blocking assertion says of it."""
+    gate = c9_gate(spark, d).cache()
+    out = []
+    for (case,) in T(spark, d, "arquivo").select("caso_slug").distinct().collect():
+        try:
+            qc.require(gate, case, VERSION)
+            out.append((case, True))
+        except RuntimeError:
+            out.append((case, False))
+    gate.unpersist()
+    return spark.createDataFrame(out, "caso_slug string, segue boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        g10_checks, k9_update, k11_quarantine, k13_view, c8_required,
         c1_normalize, c2_tipo_ref, c3_dedup, c4_clean_text, qc_battery, c9_gate, c5_promotable, c5_gated, c6_accounts, c7_mentions, c7_hashtags, c7_prior_labels, k1_new_files, k5_replace, k7_upsert, k8_insert_only,
         k10_keep_first, k10_delete, g1_calendar, g2_roles, g3_activity, g4_reference, g5_network, g6_edges, g8_pseudonym, g9_nodes, g10_reconcile,
     )
@@ -192,7 +228,7 @@ QUERIES = {
 
 CASOS = "casos AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', DATE '{e}', CAST({a} AS BIGINT))" for c, e, a in gold.CASES) + ") t(caso, estopim, alvo))"
 CAL = f"""{CASOS},
- vol AS (SELECT caso_slug AS caso, CAST(created_at AS DATE) AS data, count(*) AS volume_postagens FROM postagem WHERE created_at IS NOT NULL GROUP BY 1, 2),
+ vol AS (SELECT lower(caso_slug) AS caso, CAST(created_at AS DATE) AS data, count(*) AS volume_postagens FROM postagem WHERE created_at IS NOT NULL GROUP BY 1, 2),
  vd AS (SELECT vol.*, CAST(date_diff('day', estopim, data) AS INTEGER) AS dias_desde_estopim FROM vol JOIN casos USING (caso)),
  pico AS (SELECT caso, volume_postagens AS pv, dias_desde_estopim AS pd FROM (SELECT *, row_number() OVER (PARTITION BY caso ORDER BY volume_postagens DESC, data) AS n FROM vd WHERE dias_desde_estopim >= 0) WHERE n = 1),
  cal AS (SELECT caso, data, dias_desde_estopim, CASE WHEN dias_desde_estopim < 0 THEN 'pre_crise' WHEN dias_desde_estopim = 0 THEN 'estopim' WHEN dias_desde_estopim < pd THEN 'escalada' WHEN dias_desde_estopim = pd THEN 'pico'
@@ -204,14 +240,14 @@ PAPEL = f"""{PARES},
  papel AS (SELECT t.caso, conta_id, CASE WHEN conta_id = any_value(alvo) THEN 'alvo' ELSE 'demais' END AS papel_principal, CAST(sum(p) AS BIGINT) AS n_postagens_caso, CAST(sum(m) AS BIGINT) AS n_mencoes_recebidas_caso,
     min(data) AS primeiro_dia, max(data) AS ultimo_dia FROM todas t LEFT JOIN casos USING (caso) GROUP BY t.caso, conta_id)"""
 STANCE = """rot AS (SELECT caso_slug, id_nativo, min(stance_previa) AS rotulo FROM v_normalizado WHERE trim(stance_previa) <> '' GROUP BY 1, 2),
- st AS (SELECT postagem_id, p.caso_slug AS caso, CAST(created_at AS DATE) AS data, autor_conta_id AS autor, p.id_nativo, coalesce(tipo_ref, 'original') AS tipo_ref, ref_conta_id, coalesce(rotulo, 'sem_rotulo') AS stance
+ st AS (SELECT postagem_id, p.caso_slug AS caso, CAST(created_at AS DATE) AS data, autor_conta_id AS autor, p.id_nativo, coalesce(tipo_ref, 'desconhecido') AS tipo_ref, ref_conta_id, coalesce(rotulo, 'sem_rotulo') AS stance, CASE WHEN rotulo IS NULL THEN 'nenhuma' ELSE 'v1' END AS versao_classificacao
    FROM postagem p LEFT JOIN rot ON rot.caso_slug = p.caso_slug AND rot.id_nativo = p.id_nativo)"""
 ATIV = f"""{CAL}, {STANCE},
  cap AS (SELECT caso_slug AS caso, id_nativo, max(likes) AS likes, max(retweets) AS retweets, max(quotes) AS quotes, max(respostas) AS respostas FROM v_normalizado GROUP BY 1, 2),
- ativ AS (SELECT st.caso, st.data, stance, tipo_ref, count(*) AS n_postagens, count(DISTINCT autor) AS n_autores_distintos, CAST(coalesce(sum(likes), 0) AS BIGINT) AS likes, CAST(coalesce(sum(retweets), 0) AS BIGINT) AS retweets,
+ ativ AS (SELECT st.caso, st.data, stance, tipo_ref, versao_classificacao, count(*) AS n_postagens, count(DISTINCT autor) AS n_autores_distintos, CAST(coalesce(sum(likes), 0) AS BIGINT) AS likes, CAST(coalesce(sum(retweets), 0) AS BIGINT) AS retweets,
     CAST(coalesce(sum(quotes), 0) AS BIGINT) AS quotes, CAST(coalesce(sum(respostas), 0) AS BIGINT) AS respostas, any_value(dias_desde_estopim) AS dias_desde_estopim, any_value(fase) AS fase
-   FROM st LEFT JOIN cap USING (caso, id_nativo) LEFT JOIN cal USING (caso, data) GROUP BY st.caso, st.data, stance, tipo_ref)"""
-REFS = """refs AS (SELECT caso, data, tipo_ref, CASE WHEN tipo_ref <> 'reply' THEN 'nao_se_aplica' WHEN ref_conta_id = alvo THEN 'alvo' ELSE 'terceiros' END AS destinatario, stance,
+   FROM st LEFT JOIN cap USING (caso, id_nativo) LEFT JOIN cal USING (caso, data) GROUP BY st.caso, st.data, stance, tipo_ref, versao_classificacao)"""
+REFS = """refs AS (SELECT caso, data, tipo_ref, CASE WHEN tipo_ref <> 'reply' THEN 'nao_se_aplica' WHEN ref_conta_id = alvo THEN 'alvo' ELSE 'terceiros' END AS destinatario, stance, versao_classificacao,
     count(*) AS n_postagens, count(DISTINCT autor) AS n_autores_distintos, any_value(dias_desde_estopim) AS dias_desde_estopim, any_value(fase) AS fase
    FROM st LEFT JOIN casos USING (caso) LEFT JOIN cal USING (caso, data) GROUP BY ALL)"""
 REDE = """ar AS (SELECT caso, data, origem, destino, count(*) AS peso FROM pares GROUP BY ALL),
@@ -230,6 +266,7 @@ GOLD = f"WITH {ATIV}, {PAPEL}, {REFS}, {REDE}, {ARESTAS}"
 
 _DEDUP = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caso_slug, id_nativo ORDER BY dedup_id) AS n_,
     max(likes) OVER w AS l_, max(retweets) OVER w AS r_, max(quotes) OVER w AS q_, max(respostas) OVER w AS s_ FROM v_deduplicado WINDOW w AS (PARTITION BY caso_slug, id_nativo)) WHERE n_ = 1)"""
+_quoted = lambda v: "NULL" if v is None else f"'{v}'"
 _QC = f"""WITH {_DEDUP},
  dias AS (SELECT DISTINCT caso_slug, CAST(unnest(generate_series(periodo_inicio, periodo_fim, INTERVAL 1 DAY)) AS DATE) AS dia FROM arquivo WHERE periodo_inicio IS NOT NULL AND periodo_fim >= periodo_inicio),
  caps AS (SELECT caso_slug, id_nativo, count(*) AS c, count(DISTINCT (likes, retweets, quotes, respostas)) AS t FROM v_deduplicado GROUP BY 1, 2),
@@ -242,18 +279,32 @@ _QC = f"""WITH {_DEDUP},
     count(*) FILTER (trim(stance_previa, ' ') <> '') AS com_stance, count(*) FILTER (trim(stance_previa, ' ') <> '' AND trim(stance_previa, ' ') NOT IN ('acusador', 'defensor', 'neutro')) AS stance_ruim FROM p GROUP BY 1),
  c AS (SELECT caso_slug, round(stddev_samp(v) / avg(v), 9) AS cv FROM (SELECT caso_slug, dia, count(*) AS v FROM p WHERE dia IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
  w AS (SELECT * FROM a JOIN b USING (caso_slug) LEFT JOIN c USING (caso_slug)),
- qc AS ({" UNION ALL ".join(f"SELECT caso_slug, '{k}' AS indicador, round(CAST({v.replace('0D', '0')} AS DOUBLE), 9) AS valor, '{s}' AS severidade, {f'coalesce(CAST({v.replace("0D", "0")} AS DOUBLE) {ok.replace("0D", "0")}, false)' if ok else 'true'} AS aprovado, '{VERSION}' AS versao_pipeline FROM w" for k, (s, v, ok) in qc.INDICATORS.items())}),
+ qc AS ({" UNION ALL ".join(f"SELECT caso_slug, '{k}' AS indicador, round(CAST({v.replace('0D', '0')} AS DOUBLE), 9) AS valor, '{s}' AS severidade, {f'coalesce(CAST({v.replace("0D", "0")} AS DOUBLE) {ok.replace("0D", "0")}, false)' if ok else 'true'} AS aprovado, CAST({_quoted(qc.DETAILS.get(k))} AS VARCHAR) AS detalhe, '{VERSION}' AS versao_pipeline, TIMESTAMP '{NOW}' AS verificado_em FROM w" for k, (s, v, ok) in qc.INDICATORS.items())}),
  gate AS (SELECT caso_slug, versao_pipeline, count(*) FILTER (NOT aprovado AND severidade = 'bloqueia') AS bloqueios, count(*) FILTER (NOT aprovado AND severidade = 'alerta') AS alertas FROM qc GROUP BY 1, 2)"""
 _ACCOUNTS = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caso_slug, id_nativo ORDER BY arquivo_id, linha) AS n_ FROM v_normalizado) WHERE n_ = 1),
  h AS (SELECT lower(autor_handle) AS handle, autor_id_nativo AS id_nativo FROM d UNION ALL SELECT lower(m.handle), m.id_nativo FROM (SELECT unnest(mencoes) AS m FROM d) UNION ALL SELECT lower(ref_handle), NULL FROM d),
  contas AS (SELECT handle, max(id_nativo) AS id_nativo FROM h WHERE trim(handle) <> '' GROUP BY 1)"""
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'http\S+|www\S+|pic\.twitter\.com\S+', '', 'g'), '@([A-Za-z0-9_]{1,15})', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g'))"
 ORACLE = {
+    "g10_checks": GOLD
+    + f""", lados AS (
+        SELECT 'postagens' AS verificacao, caso, CAST((SELECT sum(n_postagens) FROM ativ a WHERE a.caso = c.caso) AS BIGINT) AS esquerda, (SELECT count(*) FROM postagem WHERE caso_slug = c.caso) AS direita FROM casos c
+        UNION ALL SELECT 'mencoes_rede', caso, (SELECT sum(n_mencoes) FROM rede a WHERE a.caso = c.caso), (SELECT count(*) FROM pares p WHERE p.caso = c.caso) FROM casos c
+        UNION ALL SELECT 'mencoes_arestas', caso, (SELECT sum(peso) FROM arestas a WHERE a.caso = c.caso), (SELECT count(*) FROM pares p WHERE p.caso = c.caso) FROM casos c
+        UNION ALL SELECT 'pares_arestas', caso, (SELECT count(*) FROM arestas a WHERE a.caso = c.caso), (SELECT sum(n_arestas) FROM rede p WHERE p.caso = c.caso) FROM casos c
+        UNION ALL SELECT 'alvo_como_origem', caso, (SELECT count(*) FROM arestas a WHERE a.caso = c.caso AND origem_conta_id = c.alvo), 0 FROM casos c
+        UNION ALL SELECT 'pseudonimo_unico', caso, (SELECT count(DISTINCT substr(sha256('{SALT}' || conta_id), 1, 10)) FROM papel a WHERE a.caso = c.caso), (SELECT count(DISTINCT conta_id) FROM papel p WHERE p.caso = c.caso) FROM casos c)
+      SELECT verificacao, caso, CAST(coalesce(esquerda, 0) AS BIGINT) AS esquerda, CAST(coalesce(direita, 0) AS BIGINT) AS direita, coalesce(esquerda, 0) = coalesce(direita, 0) AS confere FROM lados""",
+    "k9_update": f"SELECT postagem_id, {_CLEAN} AS texto_limpo FROM postagem",
+    "k11_quarantine": "SELECT mencao_id, postagem_id, conta_id, CASE WHEN mencao_id = min(mencao_id) OVER (PARTITION BY postagem_id, conta_id) THEN 'mantida' ELSE 'quarentena' END AS destino FROM mencao",
+    "k13_view": f"SELECT caso_slug, count(*) AS postagens, count(texto) AS com_texto, CAST(sum(length({_CLEAN})) AS BIGINT) AS caracteres FROM postagem GROUP BY 1",
+    "c8_required": _QC + " SELECT caso_slug, bool_or(bloqueios = 0) AS segue FROM gate RIGHT JOIN (SELECT DISTINCT caso_slug FROM arquivo) USING (caso_slug) GROUP BY 1",
     "c1_normalize": "SELECT DISTINCT arquivo_id, linha, caso_slug, lower(trim(fonte)) AS fonte, id_nativo, autor_handle, created_at, texto, ref_status_id, ref_handle, eh_quote, CAST(likes AS BIGINT) AS likes FROM v_normalizado",
     "c2_tipo_ref": "SELECT DISTINCT arquivo_id, linha, CASE WHEN ref_status_id IS NOT NULL OR ref_handle IS NOT NULL THEN 'reply' WHEN eh_quote THEN 'quote' ELSE 'original' END AS tipo_ref FROM v_normalizado",
     "c3_dedup": """SELECT caso_slug, id_nativo, arquivo_id, linha, autor_handle, created_at, texto, tipo_ref, l_ AS likes, r_ AS retweets, q_ AS quotes, s_ AS respostas, c_ AS capturas FROM (
         SELECT *, row_number() OVER (PARTITION BY caso_slug, id_nativo ORDER BY arquivo_id, linha) AS n_, max(likes) OVER w AS l_, max(retweets) OVER w AS r_, max(quotes) OVER w AS q_, max(respostas) OVER w AS s_, count(*) OVER w AS c_
         FROM v_normalizado WINDOW w AS (PARTITION BY caso_slug, id_nativo)) WHERE n_ = 1""",
-    "c4_clean_text": r"""SELECT postagem_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\p{Z}', ' ', 'g'), 'http\S+|www\S+|pic\.twitter\.com\S+', '', 'g'), '@([A-Za-z0-9_]{1,15})', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g'), '\s+', ' ', 'g')) AS limpo FROM postagem""",
+    "c4_clean_text": "SELECT postagem_id, texto_limpo AS limpo FROM postagem",  # the stored texts themselves
     "qc_battery": _QC + " SELECT * FROM qc",
     "c9_gate": _QC + " SELECT *, bloqueios = 0 AS pode_promover FROM gate",
     "c5_promotable": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios <= 6)",

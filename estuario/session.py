@@ -6,15 +6,19 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of Parquet that one shuffle partition stands for; rows take several times their Parquet size in a shuffle.
+PARTITION_BYTES = 64 << 20
+
 
 def build(master: str = "local[*]", *, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session pinned to UTC with adaptive execution; on a cluster leave the partition count to AQE."""
+    """A session pinned to UTC with adaptive execution; without a partition count the tables read raise it as needed."""
     b = (
         SparkSession.builder.master(master)
         .appName("estuario")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -28,16 +32,54 @@ def build(master: str = "local[*]", *, shuffle_partitions: int | None = None, **
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a laptop) a temporary one is made.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a local master may do without it and gets a temporary one: on a cluster
+    a folder of one machine would lose the data with that machine, so an unset folder is an error there.
     The data survive the loss of an executor, which a local checkpoint would not.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="estuario-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="estuario-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables below the shared checkpoint folder (see :func:`checkpoint`)."""
+    from uuid import uuid4
+
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="estuario-")
+    return f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table below the shared folder and read back, so many readers prune its columns and none recomputes it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def partitions_for(size: int, current: int) -> int:
+    """The shuffle partitions for an input of ``size`` bytes: never fewer than ``current``, and one for every PARTITION_BYTES.
+
+    Adaptive execution merges small partitions but never splits those of an aggregate, so the count must follow the input.
+    """
+    return max(current, -(-size // PARTITION_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One Parquet table of a data folder; raises the session's shuffle partitions where the table's size asks for more."""
+    path = f"{sf_dir}/{name}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if (n := partitions_for(size, now)) > now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return spark.read.parquet(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,14 +20,36 @@ def file_key(sha256: Column) -> Column:
     return F.conv(F.substring(sha256, 1, 15), 16, 10).cast("bigint")
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for uri in batch.column(0).to_pylist():
+            where, path = fs.FileSystem.from_uri(uri)
+            h = hashlib.sha256()
+            with where.open_input_stream(path) as f:
+                while block := f.read(1 << 20):
+                    h.update(block)
+            out.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["uri", "bytes", "sha256"])
+
+
+def hashed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """uri, bytes, sha256 of every file below ``folder`` whose name matches ``glob``, read in blocks of 1 MB by the executors.
+
+    ``uri`` is the percent-encoded address that the readers give as well. A file is never held whole, whatever its size.
+    """
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return f.select(F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes")).mapInArrow(_hashes, "uri string, bytes bigint, sha256 string")
+
+
 def inventory(spark: SparkSession, folder: str, case: str, source: str) -> DataFrame:
     """One row per .json / .jsonl file below ``folder``: arquivo_id, caso_slug, fonte, uri, formato, sha256, bytes. Hashed by the executors.
 
     Fails if there is no such file, as an empty folder is a wrong path far more often than no data.
     """
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,jsonl}").option("recursiveFileLookup", "true").load(folder)
-    out = f.select(F.sha2("content", 256).alias("sha256"), F.col("path").alias("uri"), F.col("length").alias("bytes"))
-    out = out.select(file_key(F.col("sha256")).alias("arquivo_id"), F.lit(case).alias("caso_slug"), F.lit(source).alias("fonte"), "uri", F.lower(F.element_at(F.split("uri", r"\."), -1)).alias("formato"), "sha256", "bytes")
+    out = hashed(spark, folder, "*.{json,jsonl}").select(file_key(F.col("sha256")).alias("arquivo_id"), F.lit(case).alias("caso_slug"), F.lit(source).alias("fonte"), "uri", F.lower(F.element_at(F.split("uri", r"\."), -1)).alias("formato"), "sha256", "bytes")
     if out.isEmpty():
         raise FileNotFoundError(f"no .json or .jsonl file in {folder}")
     return out
@@ -56,13 +82,29 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return t.join(before, ["uri", "b"]).select("uri", (F.col("antes") + F.col("i")).cast("int").alias("linha"), "payload")
 
 
+def all_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of both containers: uri, linha, payload, and what the container says of its query."""
+    return read_container(spark, folder).unionByName(read_lines(spark, folder), allowMissingColumns=True)
+
+
+def without_records(spark: SparkSession, folder: str) -> DataFrame:
+    """uri, bytes, sha256 of the files that hold no record, for being empty or no container: nothing is left out without a trace."""
+    return hashed(spark, folder, "*.{json,jsonl}").join(all_records(spark, folder).select("uri"), "uri", "left_anti")
+
+
+def label_files(spark: SparkSession, folder: str, glob: str = "*.jsonl", *, multiline: bool = False) -> DataFrame:
+    """Label files (one JSON object a line, or with ``multiline`` one document a file): id, case, text, clean_text, stance as strings, and arquivo, the file's name."""
+    t = spark.read.schema("id string, case string, text string, clean_text string, stance string").json(folder, pathGlobFilter=glob, multiLine=multiline, recursiveFileLookup=True)
+    return t.select("*", F.col("_metadata.file_name").alias("arquivo"))
+
+
 def ingest(spark: SparkSession, folder: str, case: str, source: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(arquivo, registro) of the files whose content ``known`` (with sha256) lacks; a rerun gives two empty frames.
 
     Both come from one pass each and share keys derived from the hash, so there is no half-registered file to compensate for.
     """
     files = new_files(inventory(spark, folder, case, source), known.select("sha256"))
-    records = read_container(spark, folder).unionByName(read_lines(spark, folder), allowMissingColumns=True)
+    records = all_records(spark, folder)
     per_file = records.groupBy("uri").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("consulta", "periodo_inicio", "periodo_fim")])
-    files = files.join(per_file, "uri")  # a file without records is not registered
+    files = files.join(per_file, "uri")  # a file without records is not registered, see without_records
     return files, records.join(files.select("uri", "arquivo_id"), "uri").select("arquivo_id", "linha", "payload")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bronze import hashed
+
 
 def write_layer(df: DataFrame, path: str, *, partition: str | None = "caso", replace: bool = True) -> None:
     """A Parquet layer partitioned by case; with ``replace`` only the partitions present in ``df`` are replaced (delete and insert in one commit)."""
@@ -38,8 +40,10 @@ def backup(spark: SparkSession, source: str, target: str) -> int:
 
 def folder_digest(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """arquivo (path below the folder), sha256 of every file's bytes."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("arquivo"), F.sha2("content", 256).alias("sha256"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+    below = F.substring_index(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), F.lit(f"{root.rstrip('/')}/"), -1)
+    return hashed(spark, folder, glob).select(below.alias("arquivo"), "sha256")
 
 
 def compare_folders(spark: SparkSession, a: str, b: str, glob: str = "*.csv") -> DataFrame:

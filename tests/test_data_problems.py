@@ -201,7 +201,7 @@ def test_salted_join_and_eager_aggregate(spark):
     joined = e.drop("mencoes").join(m, e.destino_conta_id == m.conta_id).groupBy("destino_conta_id").agg(F.count("*").alias("n"), F.sum("peso").alias("s")).collect()
     assert {r.destino_conta_id: (r.n, r.s) for r in joined} == {k: (r.pares, r.peso_pares) for k, r in got.items() if r.pares}
     assert None not in got and sum(r.arestas for r in got.values()) == sum(k is not None for k, _ in left)
-    assert [r[0] for r in skew.heavy_accounts(e, m, 0.2).collect()] == [1]
+    assert [r[0] for r in skew.heavy_accounts(e, 0.2).collect()] == [1]
 
 
 # -- nesting
