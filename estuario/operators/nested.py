@@ -111,7 +111,7 @@ def _flatten(kinds: frozenset[str]):
                     value = json.loads(text) if text else None
                     parts = decompose(value) if isinstance(value, dict) else []
                 except (ValueError, RecursionError):
-                    continue
+                    continue  # named by unreadable
                 for kind, depth, i, parent, h, content in parts:
                     if kind in kinds:
                         rows.append((a, line, kind, depth, i, parent, h, None if h in known else content))
@@ -125,11 +125,35 @@ def _flatten(kinds: frozenset[str]):
 def flatten(registro: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Occurrences and, on the first one of each object in a batch, its canonical content.
 
-    Payloads that are null or no JSON object give no rows; repeated records give repeated rows.
+    Payloads that are null, no JSON object, or nested beyond the parser's depth (some thousand levels) give no rows; :func:`unreadable`
+    names them. Repeated records give repeated rows.
     """
     return registro.select(F.col("arquivo_id").cast("bigint"), F.col("linha").cast("int"), "payload").mapInArrow(_flatten(frozenset(kinds)), _SCHEMA)
 
 
+def _reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for a, line, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            try:
+                reason = "vazio" if not text or text.isspace() else None if isinstance(value := json.loads(text), dict) else "nao_objeto"
+                if reason is None:
+                    decompose(value)
+            except RecursionError:
+                reason = "profundo"
+            except ValueError:
+                reason = "json"
+            if reason:
+                rows.append((a, line, reason))
+        cols = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], names=["arquivo_id", "linha", "motivo"])
+
+
+def unreadable(registro: DataFrame) -> DataFrame:
+    """The records that the flat tables lack, with the reason: arquivo_id, linha, motivo (vazio, json, nao_objeto, profundo)."""
+    return registro.select(F.col("arquivo_id").cast("bigint"), F.col("linha").cast("int"), "payload").mapInArrow(_reasons, "arquivo_id bigint, linha int, motivo string")
+
+
 def split(registro: DataFrame, kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
     """(pontes, objetos): one bridge row per occurrence, delivered twice or not, and each object once.
 
@@ -137,34 +161,48 @@ def split(registro: DataFrame, kinds: tuple[str, ...] = KINDS) -> tuple[DataFram
     once; the flat rows are kept in the checkpoint folder, since both tables are read from them.
     """
     flat = checkpoint(flatten(registro, kinds))
-    objects = flat.where(F.col("conteudo").isNotNull()).groupBy("objeto").agg(F.min("tipo").alias("tipo"), F.min("conteudo").alias("conteudo"))
-    return flat.drop("conteudo").distinct(), objects
+    return flat.drop("conteudo").distinct(), _objects(flat)
+
+
+def _objects(flat: DataFrame) -> DataFrame:
+    return flat.where(F.col("conteudo").isNotNull()).groupBy("objeto").agg(F.min("tipo").alias("tipo"), F.min("conteudo").alias("conteudo"))
+
+
+def _string(name: str) -> Column:
+    """The string that ``conteudo`` is, or null."""
+    return F.when(F.col("conteudo").startswith('"'), F.get_json_object(F.concat(F.lit('{"h":'), F.col("conteudo"), F.lit("}")), "$.h")).alias(name)
+
+
+def _f(path: str) -> Column:
+    return F.get_json_object("conteudo", f"$.{path}")
+
+
+def _handle() -> Column:
+    """The handle of a mention under each of its names; a bare string is a handle."""
+    return F.lower(F.coalesce(_f("screen_name"), _f("username"), _f("handle"), _string("h"))).alias("handle")
+
+
+def _tag() -> Column:
+    return F.lower(F.coalesce(_f("text"), _string("h"))).alias("hashtag")
+
+
+def _named(registro: DataFrame, kind: str, value: Column, name: str) -> DataFrame:
+    """Distinct occurrences of one kind with a value of their object. One checkpoint, one join with the objects, each stored once, and one
+    distinct at the end, which also takes away the records delivered twice."""
+    flat = checkpoint(flatten(registro, (kind,)))
+    named = _objects(flat).select("objeto", value).where(F.col(name).isNotNull())
+    b = flat.select("arquivo_id", "linha", "profundidade", "posicao", "objeto")
+    return salted_join(b, named, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha")).select("arquivo_id", "linha", "profundidade", "posicao", name).distinct()
 
 
 def mentions(registro: DataFrame) -> DataFrame:
     """Every mention with a handle: arquivo_id, linha, profundidade, posicao, handle (lower case). Distinct rows."""
-    bridges, objects = split(registro, ("mencao",))
-    # the handle under each of its names; a bare string is a handle
-    js = F.col("conteudo")
-    handle = F.coalesce(*[F.get_json_object(js, f"$.{k}") for k in ("screen_name", "username", "handle")], F.when(js.startswith('"'), F.get_json_object(F.concat(F.lit('{"h":'), js, F.lit("}")), "$.h")))
-    named = objects.select("objeto", F.lower(handle).alias("handle")).where(F.col("handle").isNotNull())
-    b = bridges.select("arquivo_id", "linha", "profundidade", "posicao", "objeto")
-    return salted_join(b, named, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha")).select("arquivo_id", "linha", "profundidade", "posicao", "handle").distinct()
+    return _named(registro, "mencao", _handle(), "handle")
 
 
 def hashtags(registro: DataFrame) -> DataFrame:
     """Every hashtag: arquivo_id, linha, profundidade, posicao, hashtag (lower case). Distinct rows."""
-    bridges, objects = split(registro, ("hashtag",))
-    js = F.col("conteudo")
-    tag = F.coalesce(F.get_json_object(js, "$.text"), F.when(js.startswith('"'), F.get_json_object(F.concat(F.lit('{"h":'), js, F.lit("}")), "$.h")))
-    named = objects.select("objeto", F.lower(tag).alias("hashtag")).where(F.col("hashtag").isNotNull())
-    b = bridges.select("arquivo_id", "linha", "profundidade", "posicao", "objeto")
-    return salted_join(b, named, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha")).select("arquivo_id", "linha", "profundidade", "posicao", "hashtag").distinct()
-
-
-def _string(name: str) -> Column:
-    """The string that ``conteudo`` is, or null."""
-    return F.when(F.col("conteudo").startswith('"'), F.get_json_object(F.concat(F.lit('{"h":'), F.col("conteudo"), F.lit("}")), "$.h")).alias(name)
+    return _named(registro, "hashtag", _tag(), "hashtag")
 
 
 def _with_content(registro: DataFrame, kind: str, *columns: Column) -> DataFrame:
@@ -177,15 +215,31 @@ def _with_content(registro: DataFrame, kind: str, *columns: Column) -> DataFrame
 
 def mention_table(registro: DataFrame) -> DataFrame:
     """Every mention, with a handle or not: arquivo_id, linha, profundidade, posicao, pai, objeto (hex), id_nativo, handle (lower case)."""
-    f = lambda k: F.get_json_object("conteudo", f"$.{k}")
-    handle = F.lower(F.coalesce(f("screen_name"), f("username"), f("handle"), _string("h"))).alias("handle")
-    return _with_content(registro, "mencao", f("id_str").alias("id_nativo"), handle).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "id_nativo", "handle")
+    return _with_content(registro, "mencao", _f("id_str").alias("id_nativo"), _handle()).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "id_nativo", "handle")
 
 
 def hashtag_table(registro: DataFrame) -> DataFrame:
     """Every hashtag, with a text or not: arquivo_id, linha, profundidade, posicao, pai, objeto (hex), hashtag (lower case)."""
-    tag = F.lower(F.coalesce(F.get_json_object("conteudo", "$.text"), _string("h"))).alias("hashtag")
-    return _with_content(registro, "hashtag", tag).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "hashtag")
+    return _with_content(registro, "hashtag", _tag()).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", "hashtag")
+
+
+# The keys of a post's own fields, base names first and then the later ones, below ``legacy`` or at the top.
+_POST_FIELDS = {
+    "id_nativo": ("legacy.id_str", "id"),
+    "autor_handle": ("core.user_results.result.core.screen_name", "core.user_results.result.core.username", "user", "author"),
+    "created_at": ("legacy.created_at", "created_at_iso", "createdAtIso"),
+    "texto": ("legacy.full_text", "legacy.text", "text", "body"),
+    "likes": ("legacy.favorite_count", "legacy.like_count", "like_count", "likes"),
+}
+
+
+def post_table(registro: DataFrame) -> DataFrame:
+    """Every post, quoted ones too: arquivo_id, linha, profundidade, objeto, pai (hex), id_nativo, autor_handle, created_at, texto, likes as delivered (text).
+
+    The author stays part of the post's content; a field that is in the record under no known name is null.
+    """
+    fields = [F.coalesce(*[_f(k) for k in keys]).alias(name) for name, keys in _POST_FIELDS.items()]
+    return _with_content(registro, "postagem", *fields).select("arquivo_id", "linha", "profundidade", "objeto", "pai", *_POST_FIELDS)
 
 
 def posts(registro: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def normalise(registro: DataFrame, arquivo: DataFrame) -> DataFrame:
     """All dialects in the 21 columns of the silver input: the one table of :mod:`drift` with case, source and derived reference kind."""
     files = arquivo.select("arquivo_id", "caso_slug").groupBy("arquivo_id").agg(F.min("caso_slug").alias("caso_slug"))
     return (
-        drift.one_table(registro)
+        drift.one_table(registro, arquivo, optional=False)
         .where(F.col("fonte").isNotNull())
         .join(files, "arquivo_id")
         .withColumn("tipo_ref", reference_kind(F.col("ref_status_id"), F.col("ref_handle"), F.coalesce("eh_quote", F.lit(False))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 from ..operators import dml, gold, qc, silver
 from ..session import table as T
+from . import data_problems
 
 VERSION, NOW, SALT = "v1", "2024-10-30 00:00:00", "sal de teste"
 
@@ -19,7 +20,7 @@ VERSION, NOW, SALT = "v1", "2024-10-30 00:00:00", "sal de teste"
 
 def c1_normalize(spark: SparkSession, d: str) -> DataFrame:
     n = silver.normalise(T(spark, d, "registro"), T(spark, d, "arquivo"))
-    return n.select("arquivo_id", "linha", "caso_slug", "fonte", "id_nativo", "autor_handle", "created_at", "texto", "ref_status_id", "ref_handle", "eh_quote", "likes").distinct()
+    return data_problems._flat(n).distinct()
 
 
 def c2_tipo_ref(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +300,7 @@ ORACLE = {
     "k11_quarantine": "SELECT mencao_id, postagem_id, conta_id, CASE WHEN mencao_id = min(mencao_id) OVER (PARTITION BY postagem_id, conta_id) THEN 'mantida' ELSE 'quarentena' END AS destino FROM mencao",
     "k13_view": f"SELECT caso_slug, count(*) AS postagens, count(texto) AS com_texto, CAST(sum(length({_CLEAN})) AS BIGINT) AS caracteres FROM postagem GROUP BY 1",
     "c8_required": _QC + " SELECT caso_slug, bool_or(bloqueios = 0) AS segue FROM gate RIGHT JOIN (SELECT DISTINCT caso_slug FROM arquivo) USING (caso_slug) GROUP BY 1",
-    "c1_normalize": "SELECT DISTINCT arquivo_id, linha, caso_slug, lower(trim(fonte)) AS fonte, id_nativo, autor_handle, created_at, texto, ref_status_id, ref_handle, eh_quote, CAST(likes AS BIGINT) AS likes FROM v_normalizado",
+    "c1_normalize": data_problems._TABELA + " SELECT DISTINCT * EXCLUDE (extras), CASE WHEN ref_status_id IS NOT NULL OR ref_handle IS NOT NULL THEN 'reply' WHEN eh_quote THEN 'quote' ELSE 'original' END AS tipo_ref FROM t",
     "c2_tipo_ref": "SELECT DISTINCT arquivo_id, linha, CASE WHEN ref_status_id IS NOT NULL OR ref_handle IS NOT NULL THEN 'reply' WHEN eh_quote THEN 'quote' ELSE 'original' END AS tipo_ref FROM v_normalizado",
     "c3_dedup": """SELECT caso_slug, id_nativo, arquivo_id, linha, autor_handle, created_at, texto, tipo_ref, l_ AS likes, r_ AS retweets, q_ AS quotes, s_ AS respostas, c_ AS capturas FROM (
         SELECT *, row_number() OVER (PARTITION BY caso_slug, id_nativo ORDER BY arquivo_id, linha) AS n_, max(likes) OVER w AS l_, max(retweets) OVER w AS r_, max(quotes) OVER w AS q_, max(respostas) OVER w AS s_, count(*) OVER w AS c_
