@@ -75,6 +75,61 @@ def test_one_table_routes_every_record(spark):
     assert r[2].id_nativo is None and r[3].fonte is None and r[4].id_nativo == "12" and r[4].stance_previa == "neutro" and r[4].hashtags == ["a", "b"]
 
 
+def test_new_fields_of_list_elements_keep_all_values(spark):
+    a = cons(mentions=[{"id_str": "1", "username": "A", "verified": True}, None, {"id_str": "2", "username": "b", "verified": False}, {"id_str": "3", "username": "c"}], media=[{"u": 1}], quoted=cons(id="7"))
+    r = found(spark, "consolidado", a)[1][0]
+    assert json.loads(r.extras) == {"mentions[].verified": {"0": True, "2": False}}
+    assert json.loads(r.opcionais)["media"] == [{"u": 1}] and json.loads(r.opcionais)["quoted"]["id"] == "7" and [m.handle for m in r.mencoes] == ["a", "b", "c"]
+
+
+def test_steps_run_in_order():
+    value = {"user": "a", "likes": "7", "is_quote": 1, "quote_count": 2.0, "mentions": {"id_str": 5, "handle": "Z"}, "hashtags": "x, y", "stance": {"label": "neutro"}, "novo": [1]}
+    steps = drift.migration("consolidado", drift.shape(value))
+    assert ("interno", "mentions[].username", "handle") in steps and ("padrao", "id", "") in steps
+    got, extras = drift.apply_steps("consolidado", value, steps)
+    assert extras == {"novo": [1]} and got["id"] is None and got["text"] is None and set(got) == set(drift.BASE["consolidado"])
+    assert (got["like_count"], got["is_quote"], got["quote_count"], got["hashtags"], got["stance"]) == (7, True, 2, ["x", "y"], "neutro")
+    assert got["mentions"] == [{"id_str": 5, "username": "Z"}]
+    assert drift.convert([{"text": "s"}], "#a b") == [{"text": "#a"}, {"text": "b"}] and drift.convert("i", "x") is None and drift.convert("i", 10**30) is None and drift.convert("b", "TRUE") is True and drift.convert("s", 1.5) == "1.5"
+
+
+@pytest.mark.parametrize(
+    ("fonte", "record", "want"),
+    [
+        ("consolidado", cons(drop=["text"], conteudo="um texto de quatro palavras"), {("text", "renomeado")}),
+        ("consolidado", cons(drop=["created_at_iso"], quando="2024-01-01T10:00:00Z"), {("created_at_iso", "renomeado")}),
+        ("consolidado", cons(drop=["retweet_count"], total_retweets=4), {("retweet_count", "renomeado")}),
+        ("consolidado", cons(drop=["reply_count"], views=4), {("reply_count", "removido"), ("views", "adicionado")}),
+        ("consolidado", cons(drop=["stance"], idioma="pt"), {("stance", "removido"), ("idioma", "adicionado")}),
+        ("consolidado", cons(drop=["stance"], opiniao="neutro"), {("stance", "renomeado")}),
+        ("consolidado", cons(drop=["text"], a="um texto de quatro", b="outro texto de cinco"), {("text", "removido"), ("a", "adicionado"), ("b", "adicionado")}),
+        ("graphql", {"core": gql()["core"], "legado": gql()["legacy"]}, {("legacy", "renomeado")}),
+    ],
+)
+def test_renames_by_evidence(spark, fonte, record, want):
+    steps, rows = found(spark, fonte, record)
+    assert set(steps) == want
+    if fonte == "graphql":
+        # without its file the record would pass for the other dialect
+        reg = spark.createDataFrame([(1, 1, json.dumps(record))], "arquivo_id bigint, linha int, payload string")
+        r = drift.one_table(reg, spark.createDataFrame([(1, " GraphQL")], "arquivo_id bigint, fonte string")).first()
+        assert (r.fonte, r.id_nativo, r.texto) == ("graphql", "1", "t")
+
+
+def test_registry_is_extended(spark):
+    reg = lambda *rs: spark.createDataFrame([(i, 1, json.dumps(r)) for i, r in enumerate(rs)], "arquivo_id bigint, linha int, payload string")
+    arq = spark.createDataFrame([(i, "consolidado", dt.datetime(2024, 1, 1 + i)) for i in range(4)], "arquivo_id bigint, fonte string, ingerido_em timestamp_ntz")
+    one, two = cons(drop=["text"], body="x"), cons(views=1)
+    first = drift.versions(reg(cons(), one), arq)
+    assert [(r.versao, r.passos, r.arquivos) for r in first.collect()] == [(1, "renomear text body", 1)]
+    again = {r.passos: r for r in drift.versions(reg(two, one, one), arq, first).collect()}
+    assert {k: (r.versao, r.arquivos) for k, r in again.items()} == {"renomear text body": (1, 2), "extra views": (2, 1)}
+    later = {r.passos: (r.versao, r.arquivos) for r in drift.versions(reg(cons()), arq, drift.versions(reg(two, one), arq, first)).collect()}
+    assert later == {"renomear text body": (1, 0), "extra views": (2, 0)}
+    prints = {r.impressao for r in drift.one_table(reg(two, one), arq).collect()}
+    assert prints == {r.impressao for r in again.values()}
+
+
 OTHER_NAMES = {
     "graphql": {"lang": "idioma", "language": "idioma", "favorite_count": "likes", "like_count": "likes", "likes": "likes", "retweet_count": "retweets", "quote_count": "quotes", "reply_count": "respostas"},
     "consolidado": {"like_count": "likes", "likes": "likes", "favorite_count": "likes", "retweet_count": "retweets", "retweets": "retweets", "quote_count": "quotes", "reply_count": "respostas", "stance": "stance_previa", "posicao": "stance_previa"},
@@ -110,7 +165,7 @@ def by_hand_columns(v):
 def test_whole_table_against_payloads(spark):
     rows = data_problems.QUERIES["p3_tabela_completa"](spark, SF).collect()
     source = duckdb.sql(f"SELECT arquivo_id, linha, payload FROM '{SF}/registro.parquet'").fetchall()
-    assert len(rows) == len(source) and len(rows[0]) == 21
+    assert len(rows) == len(source) and len(rows[0]) == 22
     payloads = {(a, n): p for a, n, p in source}
     filled, prints = set(), {}
     for r in rows:
@@ -129,6 +184,9 @@ def test_whole_table_against_payloads(spark):
         holder = {k.removeprefix("legacy."): x for k, x in extras.items()}
         assert set(extras) == new and all((v.get("legacy", {}).get(k, v.get(k)) if want["fonte"] == "graphql" else v.get(k)) == x for k, x in holder.items()), (extras, new)
         assert prints.setdefault(r.impressao, r.fonte) == r.fonte
+        top = v.get("legacy") or {}
+        rest = {"quoted": v.get("quoted"), "media": v.get("media")} if want["fonte"] == "consolidado" else {"quoted_status_result": v.get("quoted_status_result"), "legacy.place": top.get("place"), "legacy.entities.urls": (top.get("entities") or {}).get("urls")}
+        assert json.loads(r.opcionais or "{}") == {k: x for k, x in rest.items() if x is not None}
         filled |= {k for k in (*want, "extras", "impressao") if r[k]}
     assert filled == {"fonte", "impressao", "idioma", "retweets", "quotes", "respostas", "mencoes", "stance_previa", "extras"} and len(prints) > 10
 
@@ -183,9 +241,32 @@ def test_instants_against_zoneinfo(spark):
         assert r.instante_us == round(a.timestamp() * 1e6), (r.created_at, zones[r.arquivo_id])
 
 
+def test_instants_outside_the_table_of_intervals(spark):
+    rows = [("1931-10-05 12:00", "America/Sao_Paulo"), ("1969-12-31 23:30", "Europe/Lisbon"), ("1947-04-13 02:30", "Europe/Berlin"), ("2150-07-01 12:00", "America/New_York"), ("2150-01-01 12:00", "Asia/Tokyo"), ("1900-01-01 00:00Z", "UTC")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "arquivo_id bigint, created_at string")
+    z = spark.createDataFrame([(i, n) for i, (_, n) in enumerate(rows)], "arquivo_id bigint, fuso string")
+    for r in instants.to_instants(df, z).collect():
+        t, zone = rows[r.arquivo_id]
+        a = dt.datetime.strptime(t.removesuffix("Z"), "%Y-%m-%d %H:%M").replace(tzinfo=zoneinfo.ZoneInfo(zone))
+        assert r.instante_us == round(a.timestamp() * 1e6) and r.situacao == ("explicita" if t.endswith("Z") else "fora_da_tabela"), r
+
+
 # -- skew
 
 
+def test_salts_follow_the_share_of_a_key(spark):
+    d = spark.createDataFrame([(1,)] * 500 + [(2,)] * 100 + [(k,) for k in range(10, 410)], "k int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert {r.k: r._sais for r in skew.hot_keys(d, "k").collect()} == {1: 100, 2: 20}
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        assert {r.k: r._sais for r in skew.hot_keys(d, "k").where("k < 5").collect()} == {1: 1000, 2: 200}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert skew.heavy_accounts(spark.createDataFrame([], "destino_conta_id int, origem_conta_id int")).count() == 0
+
+
 def test_salted_join_and_eager_aggregate(spark):
     rng = random.Random(2)
     left = [(None if rng.random() < 0.05 else 1 if rng.random() < 0.4 else rng.randrange(60), i) for i in range(3000)]
@@ -216,7 +297,8 @@ def brute_mentions(payload):
             if h:
                 out.add((depth, i, h.lower()))
         q = post.get("quoted_status_result", post.get("quoted"))
-        post, depth = (q.get("result", q) if q else None), depth + 1
+        q = q.get("result", q) if q else None
+        post, depth = (q.get("tweet", q) if q else None), depth + 1
         if isinstance(post, dict) and not ({"legacy", "id"} & set(post)):
             post = None
     return out
@@ -259,6 +341,14 @@ def test_quotes_below_limited_wrappers(spark):
     assert sum('"limited":{"acao":1}' in c for c in contents) == 2 and sum("tombstone" in c for c in contents) == 1
 
 
+def test_unreadable_records_are_named(spark):
+    deep = '{"id": "1", "quoted": ' * 60_000 + "1" + "}" * 60_000
+    texts = [json.dumps(gql()), None, " ", "{", "[1]", "3", deep]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "arquivo_id bigint, linha int, payload string")
+    assert {r.linha: r.motivo for r in nested.unreadable(df).collect()} == {1: "vazio", 2: "vazio", 3: "json", 4: "nao_objeto", 5: "nao_objeto", 6: "profundo"}
+    assert {r.linha for r in nested.posts(df).collect()} == {0}
+
+
 LIMITED = r"""
 WITH RECURSIVE p AS (
   SELECT arquivo_id, linha, 0 AS profundidade, CAST(payload AS JSON) AS j FROM registro
