@@ -15,7 +15,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sobreviventes(spark: SparkSession, d: str) -> DataFrame:
-    return survivorship.survivors(T(spark, d, "v_deduplicado")).drop("mencoes", "hashtags")
+    """All fields; lists as text, mentions as id@handle, so that they can be compared."""
+    pair = lambda m: F.concat(F.coalesce(m["id_nativo"], F.lit("?")), F.lit("@"), F.coalesce(m["handle"], F.lit("?")))
+    return survivorship.survivors(T(spark, d, "v_deduplicado")).withColumns({"mencoes": F.array_join(F.transform("mencoes", pair), ","), "hashtags": F.array_join("hashtags", ",")})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +86,10 @@ o AS (SELECT *, row_number() OVER (PARTITION BY caso_slug, id ORDER BY cheios DE
 _BEST = ", ".join(
     f"""CASE WHEN count(*) FILTER (b_{c}) > 0 THEN first({c} ORDER BY b_{c} DESC, rk DESC, atualizado_em DESC NULLS LAST, {c} DESC) END AS {c}""" for c in (*survivorship.FILLED, "ref_status_id", "ref_handle")
 )
+_LISTS = ", ".join(
+    f"""CASE WHEN count(*) FILTER (len({c}) > 0) > 0 THEN first({text} ORDER BY len({c}) > 0 DESC NULLS LAST, rk DESC, atualizado_em DESC NULLS LAST, {c} DESC) END AS {c}"""
+    for c, text in (("mencoes", "array_to_string(list_transform(mencoes, lambda m: coalesce(m.id_nativo, '?') || '@' || coalesce(m.handle, '?')), ',')"), ("hashtags", "array_to_string(hashtags, ',')"))
+)
 _FLAGS = ", ".join(
     f"{c} IS NOT NULL" + ("" if c == "created_at" else f" AND NOT regexp_full_match({c}, {_BLANK})") + f" AS b_{c}" for c in (*survivorship.FILLED, "ref_status_id", "ref_handle")
 )
@@ -91,7 +97,7 @@ ORACLE = {
     "p1_sobreviventes": _P1
     + f""", b AS (SELECT *, {_FLAGS}, CASE lower(trim(fonte, ' ')) WHEN 'graphql' THEN 2 WHEN 'consolidado' THEN 1 ELSE 0 END AS rk FROM o)
          SELECT caso_slug, id AS id_nativo, count(*) AS linhas, CAST(sum(capturas) AS BIGINT) AS capturas, {", ".join(f"CAST(max(CASE WHEN {c} >= 0 THEN {c} END) AS BIGINT) AS {c}" for c in survivorship.COUNTERS)},
-           {_BEST}, max(CASE WHEN n = 1 THEN dedup_id END) AS dedup_id FROM b GROUP BY caso_slug, id""",
+           {_BEST}, {_LISTS}, max(CASE WHEN n = 1 THEN dedup_id END) AS dedup_id FROM b GROUP BY caso_slug, id""",
     "p2_canonico": f"SELECT postagem_id, {lookalike.canonical_sql('texto')} AS texto, {lookalike.canonical_sql('texto_limpo')} AS texto_limpo FROM postagem",
     "p2_classes": f"""SELECT upper(md5(k)) AS leitura, count(DISTINCT texto) AS formas, count(*) AS registros, min(postagem_id) AS menor_postagem_id
          FROM (SELECT postagem_id, texto, {lookalike.canonical_sql("texto")} AS k FROM postagem WHERE texto IS NOT NULL) GROUP BY k HAVING count(DISTINCT texto) > 1""",

@@ -6,8 +6,11 @@ import sys
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys
+
 #: Trust in the sources where both fill a field; others, and unknown ones, come last.
 PRIORITY = {"graphql": 2, "consolidado": 1}
 #: The fields that count for completeness.
@@ -39,7 +42,38 @@ def native_number(c: Column) -> Column:
 
 def filled(c: str, kind: str) -> Column:
     """Neither null nor, for text, blank (only white space of any kind)."""
-    return F.col(c).isNotNull() & ~F.col(c).rlike(r"^[\s\p{Z}\x{85}]*$") if kind == "string" else (F.size(c) > 0) if kind.startswith("array") else F.col(c).isNotNull()
+    return F.coalesce(~F.col(c).rlike(r"^[\s\p{Z}\x{85}]*$"), F.lit(False)) if kind == "string" else F.coalesce(F.array_size(c) > 0, F.lit(False)) if kind.startswith("array") else F.col(c).isNotNull()
+
+
+#: Bits of the shared order key below the source priority: microseconds between the years 2600 before and 6500 after our era.
+_TIME_BITS, _MOST = 58, 15
+
+
+def _order(ranks: dict[str, int]) -> Column:
+    """(source priority, atualizado_em) as one number, null dates first, so that no field carries a copy of both."""
+    rank = F.lit(0)
+    for name, n in ranks.items():
+        rank = F.when(F.lower(F.trim("fonte")) == name, n).otherwise(rank)
+    half = F.lit(1 << (_TIME_BITS - 1))
+    time = F.coalesce(F.least(F.greatest(F.unix_micros(F.col("atualizado_em").cast("timestamp")), 1 - half), half - 1) + half, F.lit(0))
+    return rank.cast("bigint") * F.lit(1 << _TIME_BITS) + time
+
+
+def _reduced(rows: DataFrame, keys: list[str], fields: list[str], kinds: dict[str, str]) -> DataFrame:
+    """The one aggregate of the method over rows that are partitioned by ``keys``: the maximum of a composite for every field.
+
+    A repeated dedup_id counts once: rows are sorted by it, and only the first of each adds its capturas.
+    """
+    first = ~F.coalesce(F.lag("dedup_id").over(W.partitionBy(*keys).orderBy("dedup_id", F.desc("_capturas"))) == F.col("dedup_id"), F.lit(False))
+    ok = lambda c: filled(c, kinds[c])
+    best = F.struct(sum(ok(c).cast("int") for c in FILLED).alias("n"), "atualizado_em", (-F.col("dedup_id")).alias("d"))
+    return rows.withColumn("_primeira", first).groupBy(*keys).agg(
+        F.count_if(F.col("_primeira") & F.col("dedup_id").isNotNull()).alias("linhas"),
+        F.sum(F.when(F.col("_primeira"), F.col("_capturas"))).alias("capturas"),
+        F.max(best).alias("_best"),
+        *[F.max(F.when(F.col(c) >= 0, F.struct(F.col(c).cast("bigint").alias("v")))).alias(f"_n_{c}") for c in COUNTERS],
+        *[F.max(F.when(ok(c), F.struct(F.col("_ordem").alias("o"), F.col(c).alias("v")))).alias(f"_f_{c}") for c in fields],
+    )
 
 
 def survivors(df: DataFrame, *, priority: dict[str, int] | None = None) -> DataFrame:
@@ -49,26 +83,34 @@ def survivors(df: DataFrame, *, priority: dict[str, int] | None = None) -> DataF
     from different rows; ``dedup_id`` names the row with the most fields of :data:`FILLED`, then the latest, then the smallest.
     capturas is the sum over the dedup_ids, a counter the greatest value that is neither null nor negative (else null).
 
-    Rows are first reduced by (caso_slug, id, dedup_id), which also counts rows delivered twice once, then by (caso_slug, id),
-    both with map-side partial aggregates: a post with a third of all rows reaches its last task as one row per task before it.
+    The rows of a post meet in one exchange by (caso_slug, id) and one aggregate with all composites. Posts that hold more rows than
+    an average partition are found by exact counts (a bounded list); their rows go to several partitions by dedup_id and the few
+    partial survivors are merged, so a post with a third of all rows is the work of many tasks. At the end every survivor is checked to have
+    at least as many filled fields as its best row.
     Rows with null, blank or unreadable id, or without a case, belong to no post. Null dates come before all others, ties go to the
-    greater value, columns not named here are ignored, and an empty table gives an empty result.
+    greater value, columns not named here are ignored, and an empty table gives an empty result. Priorities are 0 to 15.
     """
     kinds = dict(df.dtypes)
     ranks = priority or PRIORITY
-    rank = F.lit(0)
-    for name, n in ranks.items():
-        rank = F.when(F.lower(F.trim("fonte")) == name, n).otherwise(rank)
+    if any(not 0 <= n <= _MOST for n in ranks.values()):
+        raise ValueError(f"priorities are 0 to {_MOST}")
     fields = [c for c in FIELDS if c in kinds]
-    base = df.select(
-        "caso_slug", native_number(F.col("id_nativo")).alias("_id"), "dedup_id", F.col("capturas").cast("bigint").alias("_capturas"),
-        *[F.when(F.col(c) >= 0, F.col(c).cast("bigint")).alias(f"_n_{c}") for c in COUNTERS],
-        *[F.struct(filled(c, kinds[c]).alias("ok"), rank.alias("rank"), F.col("atualizado_em").alias("em"), F.when(filled(c, kinds[c]), F.col(c)).alias("v")).alias(f"_f_{c}") for c in fields],
-        F.struct(sum(filled(c, kinds[c]).cast("int") for c in FILLED).alias("n"), F.col("atualizado_em").alias("em"), (-F.col("dedup_id")).alias("d")).alias("_best"),
-    ).where(F.col("_id").isNotNull() & F.col("caso_slug").isNotNull())
-    best = ["_best", *[f"_n_{c}" for c in COUNTERS], *[f"_f_{c}" for c in fields]]
-    rows = base.groupBy("caso_slug", "_id", "dedup_id").agg(F.max("_capturas").alias("_capturas"), *[F.max(c).alias(c) for c in best])
-    posts = rows.groupBy("caso_slug", "_id").agg(F.count("dedup_id").alias("linhas"), F.sum("_capturas").alias("capturas"), *[F.max(c).alias(c) for c in best])
-    return posts.select(
-        "caso_slug", F.col("_id").alias("id_nativo"), "linhas", "capturas", *[F.col(f"_n_{c}").alias(c) for c in COUNTERS], *[F.col(f"_f_{c}.v").alias(c) for c in fields], (-F.col("_best.d")).alias("dedup_id")
+    keys = ["caso_slug", "_id"]
+    own = [c for c in dict.fromkeys((*fields, *COUNTERS, "dedup_id", "atualizado_em"))]
+    base = df.select("caso_slug", native_number(F.col("id_nativo")).alias("_id"), F.col("capturas").cast("bigint").alias("_capturas"), _order(ranks).alias("_ordem"), *own)
+    base = base.where(F.col("_id").isNotNull() & F.col("caso_slug").isNotNull())
+    post = F.xxhash64(*keys)
+    hot = hot_keys(base.select(post.alias("_post")), "_post").collect()  # bounded, see hot_keys
+    cold = base.where(~post.isin([r._post for r in hot])) if hot else base
+    out = _reduced(cold.repartition(*keys), keys, fields, kinds)
+    if hot:
+        salts = F.create_map(*[F.lit(x) for r in hot for x in (r._post, r._sais)])
+        spread = base.where(post.isin([r._post for r in hot])).withColumn("_sal", F.pmod(F.xxhash64("dedup_id"), salts[post]))
+        parts = _reduced(spread.repartition(*keys, "_sal"), [*keys, "_sal"], fields, kinds)
+        best = [c for c in parts.columns if c.startswith(("_best", "_n_", "_f_"))]
+        out = out.unionByName(parts.groupBy(*keys).agg(F.sum("linhas").alias("linhas"), F.sum("capturas").alias("capturas"), *[F.max(c).alias(c) for c in best]))
+    whole = sum(F.col(f"_f_{c}").isNotNull().cast("int") for c in FILLED) >= F.col("_best.n")
+    chosen = F.when(whole, -F.col("_best.d")).otherwise(F.raise_error(F.lit("a survivor has fewer fields than its best row")).cast("bigint"))
+    return out.select(
+        "caso_slug", F.col("_id").alias("id_nativo"), "linhas", "capturas", *[F.col(f"_n_{c}.v").alias(c) for c in COUNTERS], *[F.col(f"_f_{c}.v").alias(c) for c in fields], chosen.alias("dedup_id")
     )
