@@ -1,4 +1,9 @@
-"""Documents put into containers of fixed capacity: harmonic classes with a fixed document count per container."""
+"""Documents put into containers of fixed capacity: harmonic classes with a fixed document count per container.
+
+The method proper has one class per reciprocal floor(capacity / size) = k, and every container holds k documents of one class. Its waste is
+known: a document over half of the container is alone. ``refined`` classes divide the large sizes further and let a container take a
+fixed count of several classes.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +15,19 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-#: Sizes above capacity / FINE are classed in steps of capacity / STEPS, smaller ones by their reciprocal class alone.
+#: With refined classes, sizes above capacity / FINE are classed in steps of capacity / STEPS, smaller ones by their reciprocal class alone.
 FINE, STEPS = 8, 128
-#: Most containers profiles; the table of capacities is small by nature and checked.
+#: Most container profiles: the table of capacities is small by nature, and more rows than this are an error, never cut off.
 MAX_PROFILES = 1000
 
 
-def size_class(size: Column, capacity: Column) -> Column:
-    """The class of a size: classes partition the reciprocal classes floor(capacity / size) = k, and those with k < FINE further.
+def size_class(size: Column, capacity: Column, refined: bool = False) -> Column:
+    """The reciprocal class k = floor(capacity / size): k documents of the class fit into a container, whatever their sizes.
 
-    Small sizes have class k >= FINE, of which there are at most 2 * sqrt(capacity); large ones -step.
+    ``refined`` divides the classes with k < FINE further, into -step; at most 2 * sqrt(capacity) classes of either kind are in use by small sizes.
     """
     k = F.floor(capacity / size).cast("int")
-    return F.when(k >= FINE, k).otherwise(-F.ceil(size * F.lit(STEPS) / capacity).cast("int"))
+    return F.when(k >= FINE, k).otherwise(-F.ceil(size * F.lit(STEPS) / capacity).cast("int")) if refined else k
 
 
 @dataclass
@@ -35,6 +40,15 @@ class Run:
     base: int
 
 
+def harmonic(classes: list[tuple[int, int, int]]) -> tuple[dict[int, list[Run]], int]:
+    """The method proper: class k fills its own containers with k documents each; from (class, greatest size, documents), and the containers used."""
+    runs, used = {}, 0
+    for k, _, n in sorted(classes):
+        runs[k] = [Run(0, n, k, used)]
+        used += -(-n // k)
+    return runs, used
+
+
 def plan(capacity: int, classes: list[tuple[int, int, int]]) -> tuple[dict[int, list[Run]], int]:
     """The fixed document count of every class per container, from (class, greatest size, documents) alone; and the containers used.
 
@@ -80,16 +94,18 @@ def pieces(sizes: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_
     return s.withColumn("pedaco", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("tokens", F.least("capacidade", F.col("tokens") - F.col("pedaco") * F.col("capacidade")))
 
 
-def pack(sizes: DataFrame, profiles: DataFrame, *, key: str = "doc_id", shards: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, profiles: DataFrame, *, key: str = "doc_id", shards: int | None = None, refined: bool = False) -> DataFrame:
     """Each document's container per profile: perfil, capacidade, recipiente, key, pedaco, tokens.
 
+    By default each container holds documents of one reciprocal class; with ``refined`` containers are shared by classes according to a plan
+    made from the class counts (see :func:`plan`), which leaves far less unused.
     ``sizes`` has key and tokens, ``profiles`` perfil and capacidade_tokens (at most :data:`MAX_PROFILES` rows; null, repeated and
     non-positive ones are left out). A document is cut only if it exceeds the capacity, into full pieces and a rest. Documents
     without tokens (null or empty text) need no container and do not appear.
 
     A class may hold a third of all rows: documents are ranked within (class, shard), shards being hash buckets, and the shards'
-    counts are summed up before them; only the counts by class (a few hundred numbers) reach the driver, which fixes how many documents of each
-    class every container takes. Containers are then filled independently of each other.
+    counts are summed up before them; only the counts by class (a few hundred numbers) reach the driver, which numbers the containers of each
+    class. Containers are then filled independently of each other.
     """
     caps = sorted({(r[0], r[1]) for r in profiles.where(F.col("perfil").isNotNull() & (F.col("capacidade_tokens") > 0)).select("perfil", "capacidade_tokens").distinct().limit(MAX_PROFILES + 1).collect()})
     if len(caps) > MAX_PROFILES:
@@ -98,13 +114,13 @@ def pack(sizes: DataFrame, profiles: DataFrame, *, key: str = "doc_id", shards:
     if not caps:
         return spark.createDataFrame([], f"perfil string, capacidade int, recipiente bigint, {key} {dict(sizes.dtypes)[key]}, pedaco int, tokens int")
     shards = shards or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    items = pieces(sizes, caps, key).withColumns({"classe": size_class(F.col("tokens"), F.col("capacidade")), "_shard": F.pmod(F.xxhash64(key, "pedaco"), F.lit(shards)).cast("int")})
+    items = pieces(sizes, caps, key).withColumns({"classe": size_class(F.col("tokens"), F.col("capacidade"), refined), "_shard": F.pmod(F.xxhash64(key, "pedaco"), F.lit(shards)).cast("int")})
     groups = ["perfil", "capacidade", "classe"]
     counts = checkpoint(items.groupBy(*groups, "_shard").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("maior")))
     by: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
     for p, c, k, top, n in counts.groupBy(*groups).agg(F.max("maior"), F.sum("n")).collect():
         by.setdefault((p, c), []).append((k, top, n))
-    rows = [(p, c, k, [(r.first, r.last, r.each, r.base) for r in runs]) for (p, c), classes in by.items() for k, runs in plan(c, classes)[0].items()]
+    rows = [(p, c, k, [(r.first, r.last, r.each, r.base) for r in runs]) for (p, c), classes in by.items() for k, runs in (plan(c, classes) if refined else harmonic(classes))[0].items()]
     plans = spark.createDataFrame(rows, "perfil string, capacidade int, classe int, _runs array<struct<first:bigint,last:bigint,each:bigint,base:bigint>>")
     before = counts.select(*groups, "_shard", (F.sum("n").over(W.partitionBy(*groups).orderBy("_shard")) - F.col("n")).alias("_antes"))
     ranked = items.withColumn("_i", F.row_number().over(W.partitionBy(*groups, "_shard").orderBy(key, "pedaco")))
@@ -119,3 +135,13 @@ def report(packed: DataFrame) -> DataFrame:
     bins = packed.groupBy("perfil", "capacidade", "recipiente").agg(F.sum("tokens").alias("t"))
     g = bins.groupBy("perfil", "capacidade").agg(F.count(F.lit(1)).alias("recipientes"), F.sum("t").alias("tokens"), F.max("t").alias("maior"))
     return g.select("perfil", "capacidade", "recipientes", "tokens", "maior", F.ceil(F.col("tokens") / F.col("capacidade")).alias("minimo"), F.round(F.col("tokens") / (F.col("recipientes") * F.col("capacidade")), 6).alias("ocupacao"))
+
+
+def audit(packed: DataFrame, sizes: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Per profile, from the containers as filled: documentos, cortados (documents in several pieces), cortados_sem_precisar (of those, the ones
+    that fit whole), excedidos (containers over their capacity), tokens_perdidos (tokens of documents less those of their pieces)."""
+    d = packed.groupBy("perfil", "capacidade", key).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).join(sizes.select(key, F.col("tokens").alias("_s")), key, "left")
+    needless = (F.col("n") > 1) & (F.col("_s") <= F.col("capacidade"))
+    a = d.groupBy("perfil", "capacidade").agg(F.count(F.lit(1)).alias("documentos"), F.count_if(F.col("n") > 1).alias("cortados"), F.count_if(needless).alias("cortados_sem_precisar"), F.sum(F.col("_s") - F.col("t")).alias("tokens_perdidos"))
+    bins = packed.groupBy("perfil", "capacidade", "recipiente").agg(F.sum("tokens").alias("t"))
+    return a.join(bins.groupBy("perfil", "capacidade").agg(F.count_if(F.col("t") > F.col("capacidade")).alias("excedidos")), ["perfil", "capacidade"])
