@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-#: The table of targets is small by nature and checked.
+#: The table of targets is small by nature, and more rows than this are an error, never cut off.
 MAX_SOURCES = 1000
+#: By default the source that limits the mixture is taken at this part of its cap on average, so that its documents too are drawn.
+FULL = 0.95
 #: Rates tried at once while the realised tokens are brought to the target, and the rounds of it.
 TRIED, ROUNDS = 24, 3
 
@@ -62,17 +64,23 @@ def replicas(u: Column, steps: Column) -> Column:
 
 
 def _targets(df: DataFrame) -> list[tuple[str, float, int]]:
+    """(source, weight, cap) per name as compared; of several targets for one name the weights are added and the least cap holds."""
     rows = df.select(source_name(F.col("source")), F.col("peso_alvo").cast("double"), F.col("max_repeticoes").cast("int")).where("peso_alvo > 0 AND max_repeticoes > 0 AND source IS NOT NULL").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    return sorted({r[0]: (r[0], r[1], r[2]) for r in rows}.values())
+    out: dict[str, tuple[str, float, int]] = {}
+    for n, w, c in sorted(map(tuple, rows)):
+        _, weight, cap = out.get(n, (n, 0.0, c))
+        out[n] = (n, weight + w, min(cap, c))
+    return sorted(out.values())
 
 
 def rates(sizes: DataFrame, targets: DataFrame, *, key: str = "doc_id", total: int | None = None, seed: int = 17) -> list[tuple[str, float, int, float, int, int]]:
     """Per source with documents: (source, weight, cap, Poisson rate, tokens available, target tokens).
 
     ``sizes`` has key, source and tokens. ``total`` is the wanted size of the mixture, by default (and at most) the greatest at which no
-    source needs more than its cap. The rate follows from the ratio of target to available tokens, then it is moved until the tokens
+    source needs more than FULL of its cap on average. Sources without documents can't be drawn: the others keep their
+    weights among each other, and :func:`shares` reports the missing ones. The rate follows from the ratio of target to available tokens, then it is moved until the tokens
     realised by the documents' own draws meet the target; each round is one aggregate over all documents.
     """
     goal = _targets(targets)
@@ -84,7 +92,7 @@ def rates(sizes: DataFrame, targets: DataFrame, *, key: str = "doc_id", total: i
     goal = [g for g in goal if have.get(g[0])]
     if not goal:
         return []
-    most = min(have[n] * cap / w for n, w, cap in goal)
+    most = min(have[n] * cap * FULL / w for n, w, cap in goal)
     size = min(total, most) if total else most
     want = {n: w * size for n, w, _ in goal}
     cap = {n: c for n, _, c in goal}
@@ -120,12 +128,15 @@ def mix(docs: DataFrame, plan: list[tuple], *, key: str = "doc_id", seed: int =
 
 
 def shares(sizes: DataFrame, targets: DataFrame, plan: list[tuple], *, key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """Per target source: peso_alvo, max_repeticoes, documentos and tokens of the source, tokens in the mixture, peso_obtido, most copies of one document."""
+    """Per target source: peso_alvo, max_repeticoes, documentos (with tokens) and tokens of the source, tokens in the mixture, peso_obtido, most copies
+    of one document, tokens_alvo, tokens of the greatest document, and situacao: ok, or sem_documentos for a source that has none."""
     spark = sizes.sparkSession
     steps = spark.createDataFrame([(n, thresholds(r, c)) for n, _, c, r, *_ in plan], "source string, _steps array<double>")
-    s = sizes.select(key, "tokens", source_name(F.col("source")).alias("source")).join(F.broadcast(steps), "source").withColumn("_n", replicas(uniform(key, seed), F.col("_steps")))
-    g = s.groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.sum("tokens").alias("tokens_fonte"), F.sum(F.col("tokens") * F.col("_n")).alias("tokens"), F.max("_n").alias("mais_copias"))
-    g = targets.select(source_name(F.col("source")).alias("source"), "peso_alvo", "max_repeticoes").join(g, "source", "left")
+    s = sizes.where("tokens > 0").select(key, "tokens", source_name(F.col("source")).alias("source")).join(F.broadcast(steps), "source").withColumn("_n", replicas(uniform(key, seed), F.col("_steps")))
+    g = s.groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.sum("tokens").alias("tokens_fonte"), F.sum(F.col("tokens") * F.col("_n")).alias("tokens"), F.max("_n").alias("mais_copias"), F.max("tokens").alias("maior_documento"))
+    wanted = spark.createDataFrame(_targets(targets), "source string, peso_alvo double, max_repeticoes int")
+    goal = spark.createDataFrame([(n, t) for n, _, _, _, _, t in plan], "source string, tokens_alvo bigint")
+    g = wanted.join(g, "source", "left").join(F.broadcast(goal), "source", "left").withColumn("situacao", F.when(F.col("documentos").isNull(), "sem_documentos").otherwise("ok"))
     total = s.agg(F.sum(F.col("tokens") * F.col("_n"))).scalar()
     return g.withColumn("peso_obtido", F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.nullif(total, F.lit(0)), 6))
 
