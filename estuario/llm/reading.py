@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 5
-#: At most this many labelled documents are fitted on, chosen by a hash of their id; and at most this many characters of them in all.
+#: At most this many labelled documents are fitted on, chosen by a hash of their id; and at most this many characters of them in all. Both are parameters of training_sample.
 MAX_TRAINING, MAX_TRAINING_CHARS = 2000, 8_000_000
-#: Buckets of the hashed features of each model, character n-gram lengths, and the longest sentence in words (longer ones are cut).
-BUCKETS, GRAMS, LONGEST = 1 << 17, (3, 4, 5), 40
+#: Buckets of the hashed features of each model, and character n-gram lengths.
+BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
 #: Words whose scores a process keeps.
 KNOWN_WORDS = 400_000
 
@@ -27,15 +27,13 @@ _STOP = frozenset(".!?;…\n")
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Lower-case words by sentence, without markup, links and handles; sentences end at stops and line ends, at most LONGEST words each."""
+    """Lower-case words by sentence, without markup, links and handles; sentences end at stops and line ends, however long they are."""
     out: list[list[str]] = [[]]
     for w in _PARTS.findall(_NOISE.sub(" ", text).lower()):
-        if w in _STOP or len(out[-1]) >= LONGEST:
-            if out[-1]:
-                out.append([])
-            if w in _STOP:
-                continue
-        out[-1].append(w)
+        if w not in _STOP:
+            out[-1].append(w)
+        elif out[-1]:
+            out.append([])
     return out if out[-1] else out[:-1]
 
 
@@ -214,25 +212,33 @@ def fit(texts: list[str], levels: list[float], *, ridge: float = 0.5, folds: int
     return full
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> tuple[list[str], list[float]]:
+def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_chars: int | None = None) -> tuple[list[str], list[float]]:
     """Texts and mean levels of at most ``limit`` labelled documents, chosen by a hash of the id; null and impossible levels are left out.
 
-    The chosen texts together have at most MAX_TRAINING_CHARS characters: in the order of the hash, one that no longer fits is left
-    out and the next ones are tried. ValueError if there are documents but no text to fit on is left.
+    The chosen texts together have at most ``max_chars`` characters (default MAX_TRAINING_CHARS): in the order of the hash, one that no longer fits is left
+    out and the next ones are tried. Only ids and lengths reach the driver first, so the bound holds for the texts it gets.
+    ValueError if there are documents but no text to fit on is left.
     """
+    left = MAX_TRAINING_CHARS if max_chars is None else max_chars
     y = labels.where(F.col("nivel").between(1, LEVELS)).groupBy("doc_id").agg(F.avg("nivel").alias("nivel"))
-    # the ids are chosen first, so no task sends the driver more than its share of the chosen texts
     chosen = y.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "nivel", "_h").collect()
-    kept, left = [], MAX_TRAINING_CHARS
-    for r in sorted(rows, key=lambda r: (r["_h"], r.doc_id)):
-        if len(r.text) <= left:
-            left -= len(r.text)
-            kept.append(r)
-    if not any(sentences(r.text) for r in kept) and not documents.isEmpty():
-        raise ValueError(f"no labelled text with a sentence within {MAX_TRAINING_CHARS} characters to fit on")
-    kept.sort(key=lambda r: r.doc_id)
-    return [r.text for r in kept], [float(r.nivel) for r in kept]
+    # bounded: at most ``limit`` rows
+    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    sizes = found.select("doc_id", "_h", F.length("text").alias("n")).collect()
+    kept = []
+    for r in sorted(sizes, key=lambda r: (r["_h"], r.doc_id, r.n)):
+        if r.n <= left:
+            left -= r.n
+            kept.append((r.doc_id, r.n))
+    rows = []
+    if kept:
+        # by id and length, so that of several texts under one id only those that were counted come
+        mine = documents.sparkSession.createDataFrame(sorted(set(kept)), "doc_id bigint, _n int")
+        got = found.withColumn("_n", F.length("text")).join(F.broadcast(mine), ["doc_id", "_n"]).select("doc_id", "text", "nivel").collect()
+        rows = sorted(got, key=lambda r: (r.doc_id, r.text))
+    if not any(sentences(r.text) for r in rows) and not documents.isEmpty():
+        raise ValueError(f"no labelled text with a sentence within {MAX_TRAINING_CHARS if max_chars is None else max_chars} characters to fit on")
+    return [r.text for r in rows], [float(r.nivel) for r in rows]
 
 
 _OUT = "doc_id bigint, palavras int, frases int, p1 double, p2 double, p3 double, p4 double, p5 double, dificuldade double, p_dificil double, nivel int"
