@@ -65,16 +65,22 @@ def by_hand(t):
             pass
         else:
             out.append(c)
-    one = lookalike.one_to_one()
-    s = "".join(lookalike.EXPANSIONS.get(one.get(c, c), one.get(c, c)) for c in out)
+    one = dict(zip(*llm_queries._DRAWN)) | {"ﬁ": "fi", "ﬂ": "fl", "…": "...", "‐": "-", "‑": "-", "𝐛": "b"}
+    s = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else one.get(c, c) for c in out)
     return " ".join(unicodedata.normalize("NFC", s).split())
 
 
 SAME = [
     ("café", "café"), ("cá̧", "cá̧"), ("texto", "ｔｅｘｔｏ"), ("olá mundo", "olá mundo"), ("olá mundo", "olá  mundo "), ("casa", "ca­sa"), ("casa", "с​аѕа"),
     ("não", "na͏̃o"), ("fim", "ﬁm"), ("e...", "e…"), ("bem-vindo", "bem‑vindo"), ("vovo", "νoνο"), ("á", "а́"), ("ó", "ό".replace("ό", "ό")), ("ó", "ό"), ("❤", "❤️"), ("", "​"), ("gato", "ɡato"), ("l", "ӏ"),
+    ("II", "Ⅱ"), ("viii", "ⅷ"), ("XII", "Ⅻ"), ("I", "Ⅰ"), ("DŽ", "Ǆ"), ("Dž", "ǅ"), ("dž", "ǆ"), ("LJ", "Ǉ"), ("Nj", "ǋ"), ("DZ", "Ǳ"), ("ĳs".replace("ĳ", "ij"), "ĳs"), ("\u0644\u0627", "\ufefb"), ("\u0644\u0622", "\ufef5"),
+    ("ABC", "\u13aa\u13f4\u13df"), ("CODE", "\ua4da\ua4f3\ua4d3\ua4f0"), ("HOT", "\u2c8e\u2c9e\u2ca6"), ("SUOL", "\u054f\u054d\u0555\u053c"), ("hnu", "\u0570\u0578\u057d"), ("ffi", "ﬃ"), ("st", "ﬆ"),
+    ("ca\u200csa", "casa"), ("\u0628\u200d\u0628", "\u0628\u0628"), ("a\U000e0061\U000e007f", "a"), ("\U0001f3f4\U000e0067x", "\U0001f3f4x"), ("\U000e0100a", "a"), ("a\u200db", "ab"),
 ]
-OTHER = [("Casa", "casa"), ("café", "cafe"), ("a.", "a"), ("👨‍👩‍👧", "👨👩👧"), ("x²", "x2"), ("①", "1"), ("👏🏽", "👏"), ("a–b", "a-b"), ("m", "м"), ("1", "l"), ("O", "0"), ("ã", "a"), ("🔥", "😀")]
+OTHER = [("Casa", "casa"), ("café", "cafe"), ("a.", "a"), ("👨‍👩‍👧", "👨👩👧"), ("x²", "x2"), ("①", "1"), ("👏🏽", "👏"), ("a–b", "a-b"), ("m", "м"), ("1", "l"), ("O", "0"), ("ã", "a"), ("🔥", "😀"),
+    ("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f"), ("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "\U0001f3f4"),
+    ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "\u0645\u06cc\u062e\u0648\u0627\u0647\u0645"), ("\u0915\u094d\u200c\u0937", "\u0915\u094d\u0937"), ("\u0915\u094d\u200d\u0937", "\u0915\u094d\u0937"), ("\u0915\u094d\u200d\u0937", "\u0915\u094d\u200c\u0937"),
+    ("❤\ufe0e", "❤\ufe0f"), ("\u0647\u200d", "\u0647"), ("Ⅳ", "IIII"), ("ﬁ", "f1"), ("\ufdfa", "\u0635")]
 
 
 def test_same_and_other_readings(spark):
@@ -96,10 +102,10 @@ def test_canonical_against_hand(spark):
 
 
 def test_written_texts_keep_joiners_of_sequences(spark):
-    rows = [(1, "👨‍👩‍👧 a​b"), (2, "a‍b"), (3, "👩🏽‍💻"), (4, "❤️‍🔥 ｗ"), (5, None)]
+    rows = [(1, "👨‍👩‍👧 a​b"), (2, "a‍b"), (3, "👩🏽‍💻"), (4, "❤️‍🔥 ｗ"), (5, None), (6, "\u06cc\u200c\u062e ❤\ufe0e\u200c")]
     df = spark.createDataFrame(rows, "id bigint, texto string")
     got = {r.id: r.texto for r in lookalike.written(df, "id", "texto").collect()}
-    assert got == {1: "👨‍👩‍👧 ab", 2: "ab", 3: "👩🏽‍💻", 4: "❤‍🔥 w", 5: None}
+    assert got == {1: "👨‍👩‍👧 ab", 2: "ab", 3: "👩🏽‍💻", 4: "❤‍🔥 w", 5: None, 6: "\u06cc\u200c\u062e ❤\ufe0e"}
     # the query's texts against the form made by hand, where that knows every character
     texts = {r.postagem_id: r.texto for r in table(spark, SF, "postagem").select("postagem_id", "texto").collect()}
     out = llm_queries.QUERIES["p2_canonico"](spark, SF).collect()
@@ -115,6 +121,14 @@ def test_pairs_against_brute_force(spark):
     want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a is not None and b is not None and a != b and by_hand(a) == by_hand(b)}
     assert {tuple(r) for r in lookalike.same_reading(df).collect()} == want
     assert lookalike.same_reading(df.limit(0)).count() == 0
+    # classes say the same without expanding copies
+    got = {r.postagem_id: r for r in lookalike.membership(df).collect()}
+    links = {i: sum(i in p for p in want) for i in range(120)}
+    assert {i: r.ligacoes for i, r in got.items()} == {i: n for i, n in links.items() if n}
+    reps = {tuple(r) for r in lookalike.representative_pairs(df).collect()}
+    assert {(i, j) for i in got for j in got if i < j and tuple(sorted((got[i].representante, got[j].representante))) in reps} == want
+    assert {(i, j) for i in got for j in got if i < j and got[i].classe == got[j].classe and texts[i] != texts[j]} == want and {r.formas for r in got.values()} == {2, 3}
+    assert lookalike.membership(df.limit(0)).count() == 0 == lookalike.representative_pairs(df.limit(0)).count()
 
 
 @settings(max_examples=60, deadline=None)
@@ -143,7 +157,7 @@ def test_pack_whole(spark):
     sizes = [(i, rng.choice([0, 1, 2, 5, 17, 60, 100, 101, 250, 1030])) for i in range(900)] + [(1000 + i, 40) for i in range(450)]
     s = spark.createDataFrame(sizes, "doc_id bigint, tokens int")
     prof = spark.createDataFrame([("a", 100), ("b", 512), ("b", 512), ("z", None), (None, 5), ("n", -1)], "perfil string, capacidade_tokens int")
-    out = packing.pack(s, prof, shards=7).collect()
+    out, plain = packing.pack(s, prof, shards=7, refined=True).collect(), packing.pack(s, prof, shards=7).collect()
     for p, cap in (("a", 100), ("b", 512)):
         rows = [r for r in out if r.perfil == p]
         bins, docs = {}, {}
@@ -154,6 +168,15 @@ def test_pack_whole(spark):
         assert {d: sum(v) for d, v in docs.items()} == {d: n for d, n in sizes if n}
         assert all(len(v) == -(-dict(sizes)[d] // cap) for d, v in docs.items())
         assert sum(bins.values()) / (len(bins) * cap) > 0.9
+        # the method proper: one class to a container, k documents of it but for the last
+        held = {}
+        for r in plain:
+            if r.perfil == p:
+                held.setdefault(r.recipiente, []).append(cap // r.tokens)
+        assert all(len(set(v)) == 1 and len(v) <= v[0] for v in held.values())
+        assert sum(len(v) < v[0] for v in held.values()) <= len({v[0] for v in held.values()})
+        a = {r.perfil: r for r in packing.audit(packing.pack(s, prof, shards=7), s).collect()}[p]
+        assert (a.documentos, a.cortados_sem_precisar, a.excedidos, a.tokens_perdidos) == (sum(n > 0 for _, n in sizes), 0, 0, 0) and a.cortados == sum(n > cap for _, n in sizes)
     assert packing.pack(s.limit(0), prof).count() == 0 and packing.pack(s, prof.limit(0)).count() == 0
 
 
@@ -170,8 +193,13 @@ def test_mix_reaches_weights(spark):
     rng = random.Random(6)
     docs = [(i, rng.choice(["A", " a", "b", "b", "b", "c", None]), rng.randint(1, 50), "t") for i in range(6000)]
     s = spark.createDataFrame(docs, "doc_id bigint, source string, tokens int, text string")
-    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 4), ("nada", 0.0, 1)], "source string, peso_alvo double, max_repeticoes int")
+    targets = spark.createDataFrame([("a", 0.2, 3), (" A", 0.3, 5), ("b", 0.3, 2), ("c", 0.2, 4), ("nada", 0.0, 1)], "source string, peso_alvo double, max_repeticoes int")
     plan = mixing.rates(s, targets)
+    # every source is drawn, also the one that limits the mixture
+    assert all(0 < r[3] < 20 for r in plan) and [r[:3] for r in plan] == [("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 4)]
+    assert max(r[5] / r[4] / r[2] for r in plan) == pytest.approx(mixing.FULL, abs=1e-3)
+    missing = mixing.shares(s, t2 := targets.unionAll(spark.createDataFrame([("falta", 0.1, 2)], targets.schema)), mixing.rates(s, t2)).where("source = 'falta'").first()
+    assert (missing.situacao, missing.peso_obtido, missing.documentos) == ("sem_documentos", 0.0, None)
     got = {r.source: r for r in mixing.shares(s, targets, plan).collect()}
     for n, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert got[n].peso_obtido == pytest.approx(w, abs=0.004) and got[n].mais_copias <= got[n].max_repeticoes
@@ -207,7 +235,8 @@ def test_reading_edges(spark):
     df = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, " 12 !!", 7), (4, "A EPISTEMOLOGIA PRESSUPÕE", 7), (5, "gato casa " * 60_000, 7)], "doc_id bigint, text string, nivel int")
     out = {r.doc_id: r for r in reading.score(df, m).collect()}
     assert all(out[i].dificuldade is None and out[i].frases == 0 for i in (1, 2, 3))
-    assert out[4].dificuldade > out[5].dificuldade and out[5].palavras == 120_000 and out[5].frases > 1000
+    assert out[4].dificuldade > out[5].dificuldade and out[5].palavras == 120_000 and out[5].frases == 1
+    assert [len(x) for x in reading.sentences("a b. " + "c " * 90 + "! d")] == [2, 90, 1]
     assert reading.score(df.limit(0), m).count() == 0
     empty = reading.fit([], [])
     assert reading.score(df, empty).count() == 5
@@ -220,6 +249,7 @@ def test_training_budget_is_spent_in_hash_order(spark, monkeypatch):
     texts, levels = reading.training_sample(docs, labels)
     order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id]
     assert [int(t[6:9]) for t in texts] == sorted(order[: len(texts)]) and len(texts) == len(levels) == 1000 // 100
+    assert len(reading.training_sample(docs, labels, max_chars=300)[0]) == 3 and len(reading.training_sample(docs, labels, 2)[0]) <= 2
     with pytest.raises(ValueError):
         reading.training_sample(docs.where("doc_id = 0"), labels)
     assert reading.training_sample(docs.limit(0), labels) == ([], [])
