@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dml, gold, instants, qc, silver
+from ..operators.skew import salted_join
 from ..session import checkpoint
 
 
@@ -38,14 +39,13 @@ def run(spark: SparkSession, src: dict[str, DataFrame], params: Params, *, cases
         accounts = dml.upsert(src["conta"].select("handle", "id_nativo"), accounts, ["handle"], ["id_nativo"])
     account = accounts.withColumn("conta_id", F.xxhash64(F.lit("x"), "handle"))
     key = account.select("handle", "conta_id")
-    post = (
-        promoted.withColumn("postagem_id", F.xxhash64(F.lit("x"), "caso_slug", "id_nativo"))
-        .join(key.select(F.col("handle").alias("_a"), F.col("conta_id").alias("autor_conta_id")), F.lower("autor_handle") == F.col("_a"), "left")
-        .join(key.select(F.col("handle").alias("_r"), F.col("conta_id").alias("ref_conta_id")), F.col("ref_handle") == F.col("_r"), "left")
-        .drop("_a", "_r")
-    )
-    post = keep(post)
-    pair = post.select("postagem_id", F.explode("mencoes").alias("m")).select("postagem_id", F.lower("m.handle").alias("handle")).join(key, "handle").select("postagem_id", "conta_id").distinct()
+    # a few handles write, are answered and are mentioned most, so all three joins salt them
+    post = promoted.withColumns({"postagem_id": F.xxhash64(F.lit("x"), "caso_slug", "id_nativo"), "_a": F.lower("autor_handle"), "_r": F.col("ref_handle")})
+    post = salted_join(post, key.select(F.col("handle").alias("_a"), F.col("conta_id").alias("autor_conta_id")), "_a", spread=F.col("postagem_id"), hot_from=promoted.select(F.lower("autor_handle").alias("_a")))
+    post = salted_join(post, key.select(F.col("handle").alias("_r"), F.col("conta_id").alias("ref_conta_id")), "_r", spread=F.col("postagem_id"), hot_from=promoted.select(F.col("ref_handle").alias("_r")))
+    post = keep(post.drop("_a", "_r"))
+    named = post.select("postagem_id", F.explode("mencoes").alias("m")).select("postagem_id", F.lower("m.handle").alias("handle"))
+    pair = salted_join(named, key, "handle", how="inner", spread=F.col("postagem_id")).select("postagem_id", "conta_id").distinct()
     label = post.where(F.col("stance_previa").isNotNull()).select("postagem_id", F.col("stance_previa").alias("rotulo"), F.lit(params.version).alias("versao"))
     cal = gold.calendar(post, cases)
     pairs = keep(gold.mentions_of(post, pair))

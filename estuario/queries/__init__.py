@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, data_problems, layers, primitives, quality
+from . import analysis, data_problems, layers, primitives, quality, storage
 
-MODULES = [data_problems, layers, analysis, primitives, quality]
+MODULES = [data_problems, layers, analysis, primitives, quality, storage]
 
 
 def queries() -> dict:

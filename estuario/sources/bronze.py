@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.dml import new_files
 
+#: Characters of an address that stay as they are; readers leave letters of other scripts bare.
+_PLAIN = "%/:?#[]@!$&'()*+,;=~"
 FORMATS = ("json", "jsonl")
 
 
@@ -26,7 +29,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for uri in batch.column(0).to_pylist():
-            where, path = fs.FileSystem.from_uri(uri)
+            where, path = fs.FileSystem.from_uri(quote(uri, safe=_PLAIN))
             h = hashlib.sha256()
             with where.open_input_stream(path) as f:
                 while block := f.read(1 << 20):
@@ -68,13 +71,13 @@ def read_container(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """JSON lines: uri, linha (1-based place among the non-blank lines of the file), payload (stripped).
 
     Lines are numbered within each file split and offset by the counts of the splits before it, so one huge file is read and
     numbered by many tasks.
     """
-    t = spark.read.text(folder, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
+    t = spark.read.text(folder, pathGlobFilter=glob, recursiveFileLookup=True)
     t = t.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"), F.trim(F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")).alias("payload")).where("payload <> ''")
     n = t.groupBy("uri", "b").agg(F.count(F.lit(1)).alias("n"))
     before = n.select("uri", "b", (F.sum("n").over(W.partitionBy("uri").orderBy("b")) - F.col("n")).alias("antes"))

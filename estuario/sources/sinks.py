@@ -42,7 +42,7 @@ def folder_digest(spark: SparkSession, folder: str, glob: str = "*.csv") -> Data
     """arquivo (path below the folder), sha256 of every file's bytes."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
-    below = F.substring_index(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), F.lit(f"{root.rstrip('/')}/"), -1)
+    below = F.regexp_replace(F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))), rf"^.*?\Q{root.rstrip('/')}/\E", "")
     return hashed(spark, folder, glob).select(below.alias("arquivo"), "sha256")
 
 

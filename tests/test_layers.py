@@ -1,6 +1,7 @@
 """Pipeline layers on hand fixtures: bronze files, gate, table changes, star schema edge cases, constraints, labels, sinks, streaming."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -36,6 +37,27 @@ def test_ingest_twice_is_idempotent(spark, tmp_path):
         bronze.inventory(spark, str(tmp_path / "so"), "c", "g")
 
 
+def test_ingest_keeps_files_with_blanks_and_accents(spark, tmp_path):
+    names = ["dia 1.json", "dia2.json", "ação+1%.json", "x y.jsonl"]
+    for i, n in enumerate(names):
+        (tmp_path / n).write_text(json.dumps({"metadata": {}, "tweets": [{"n": i}]}) if n.endswith("json") else json.dumps({"n": i}))
+    (tmp_path / "vazio 2.json").write_text('{"metadata": {}, "tweets": []}')
+    (tmp_path / "torto.json").write_text("{")
+    files, records = bronze.ingest(spark, str(tmp_path), "c", "g", spark.createDataFrame([], "sha256 string"))
+    assert files.count() == 4 and {json.loads(r.payload)["n"] for r in records.collect()} == {0, 1, 2, 3}
+    got = {r.uri: (r.sha256, r.bytes) for r in bronze.inventory(spark, str(tmp_path), "c", "g").collect()}
+    want = {(hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in tmp_path.iterdir()}
+    assert set(got.values()) == want and len(got) == 6
+    assert {r.uri.rsplit("/", 1)[1] for r in bronze.without_records(spark, str(tmp_path)).collect()} == {"vazio%202.json", "torto.json"}
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "treino.jsonl").write_text('{"id": 1, "case": "c", "text": "a", "clean_text": "[IRONY] a", "stance": "neutro"}\n{"id": 2}\n')
+    (tmp_path / "teste.json").write_text('[{"id": 3,\n "case": "c"}]')
+    assert {(r.id, r.arquivo, r.stance) for r in bronze.label_files(spark, str(tmp_path)).collect()} == {("1", "treino.jsonl", "neutro"), ("2", "treino.jsonl", None)}
+    assert [(r.id, r.arquivo) for r in bronze.label_files(spark, str(tmp_path), "*.json", multiline=True).collect()] == [("3", "teste.json")]
+
+
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text("".join(f'{{"n":{i}}}\n' + "\n" * (i % 3) for i in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -94,6 +116,23 @@ def test_each_indicator_fails_alone(spark, indicator):
         qc.require(g, "c", "outra")
 
 
+def test_indicators_after_promotion(spark):
+    oracle = spark.createDataFrame([(1, "a", "a"), (2, "b", "[IRONY] b"), (3, "c", "x"), (9, "z", "z"), (4, None, None)], "id bigint, text string, clean_text string")
+    posts = spark.createDataFrame([(10, "1", "c", "a", "a"), (20, "2", "c", "b", "b"), (30, "3", "d", "C", "c"), (40, "4", "d", None, None)], "postagem_id bigint, id_nativo string, caso_slug string, texto string, texto_limpo string")
+    pairs = qc.cleaning_pairs(oracle, posts)
+    assert {r.id: (r.caso_slug, r.marcado, r.texto_igual, r.limpo_igual) for r in pairs.collect()} == {"1": ("c", False, True, True), "2": ("c", True, True, True), "3": ("d", False, False, False), "9": (None, False, False, False), "4": ("d", False, True, True)}
+    assert {r.caso_slug: (r.pares, r.textos_iguais, r.marcados, r.limpos_iguais) for r in qc.cleaning_summary(pairs).collect()} == {"c": (2, 2, 1, 2), "d": (2, 1, 0, 1), None: (1, 0, 0, 0)}
+    lab = spark.createDataFrame([(10, "m", "1", "neutro"), (20, "m", "1", "acusador"), (20, "m", "2", "neutro"), (30, "m", "1", "acusador")], "postagem_id bigint, modelo string, versao string, rotulo string")
+    tested = spark.createDataFrame([("c", "neutro", "neutro"), ("c", "neutro", "acusador")], "caso_slug string, verdade string, previsto string")
+    out = {(r.caso_slug, r.indicador.removeprefix("qc_")): (r.valor, r.aprovado, r.severidade) for r in qc.after_promotion(pairs, posts, lab, tested, "m", "1", "v", "2024-01-01 00:00:00").collect()}
+    assert out == {
+        ("c", "texto_limpo_reproduz_oraculo"): (100.0, True, "bloqueia"), ("d", "texto_limpo_reproduz_oraculo"): (50.0, False, "bloqueia"),
+        ("c", "classificacao_cobertura"): (100.0, True, "informa"), ("d", "classificacao_cobertura"): (50.0, True, "informa"),
+        ("c", "classificacao_pct_neutro"): (50.0, True, "alerta"), ("d", "classificacao_pct_neutro"): (0.0, False, "alerta"), ("c", "classificador_acuracia_teste"): (0.5, False, "alerta"),
+    }
+    assert qc.after_promotion(pairs.limit(0), posts.limit(0), lab, tested.limit(0), "m", "1", "v", "2024-01-01 00:00:00").count() == 0
+
+
 def test_dedup_takes_first_and_greatest(spark):
     rows = [cap(arquivo_id=2, linha=1, texto="b", likes=9), cap(arquivo_id=1, linha=7, texto=None, likes=2), cap(arquivo_id=1, linha=8, texto="c", likes=None)]
     r = silver.deduplicate(spark.createDataFrame(rows, CAP)).collect()
@@ -108,6 +147,32 @@ def test_upsert_and_friends(spark):
     assert {r.v for r in dml.replace_groups(t.dropna(), s.where("k = 'b'"), ["k"]).collect()} == {"z"}
 
 
+def test_update_quarantine_and_views(spark):
+    t = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "z"), (4, None, "w")], "id int, k string, v string")
+    assert [(r.id, r.v) for r in dml.update(t, v=F.upper("v"), id=F.col("id") * 2).orderBy("id").collect()] == [(2, "X"), (4, "Y"), (6, "Z"), (8, "W")]
+    kept, aside = dml.quarantine(t, ["k"], ["id"])
+    assert {r.id for r in kept.collect()} == {1, 3} and {r.id for r in aside.collect()} == {2, 4} and kept.columns == t.columns
+    dml.create_view(t, "v_teste", {"v": "um valor"})
+    got = spark.table("v_teste")
+    assert got.schema["v"].metadata == {"comment": "um valor"} and got.schema["k"].metadata == {} and got.count() == 4
+
+
+def test_checkpoint_folder_and_partitions(spark):
+    from estuario import session
+
+    assert session.partitions_for(0, 8) == 8 and session.partitions_for(10 << 30, 8) == 160 and session.partitions_for(100 << 40, 200) == 1_638_400
+    assert session.keep(spark.range(5), "t").count() == 5
+
+
+def test_reconciliation_names_what_differs(spark):
+    posts = spark.createDataFrame([("c",), ("c",), ("so_aqui",)], "caso_slug string")
+    p = pairs(spark, [(2, 1), (3, 1)])
+    act, net = spark.createDataFrame([("c", 2)], "caso string, n_postagens bigint"), spark.createDataFrame([("c", 3, 2)], "caso string, n_mencoes bigint, n_arestas bigint")
+    e, n = spark.createDataFrame([("c", 1, "alvo"), ("c", 1, "demais")], "caso string, peso bigint, papel_origem string"), spark.createDataFrame([("c", "n1"), ("c", "n1")], "caso string, id string")
+    bad = {(r.verificacao, r.caso): (r.esquerda, r.direita) for r in gold.reconciliation(posts, p, act, net, e, n).where("NOT confere").collect()}
+    assert bad == {("postagens", "so_aqui"): (0, 1), ("mencoes_rede", "c"): (3, 2), ("alvo_como_origem", "c"): (1, 0), ("pseudonimo_unico", "c"): (1, 2)}
+
+
 DAY = dt.date(2024, 1, 1)
 
 
@@ -208,6 +273,13 @@ def test_ruler_and_folders(spark, tmp_path):
     sinks.write_layer(d.where("k = 'a'").withColumns({"caso": F.col("k"), "v": F.lit(7)}), str(tmp_path / "l"))
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "l")).collect()} == {("a", 7), ("b", 2)}
     assert sinks.backup(spark, str(tmp_path / "l"), str(tmp_path / "c")) == 2
+    # files of one name in two folders are two files
+    for side, text in (("p", "1"), ("q", "2")):
+        for sub, t in (("a", "same"), ("b c", text)):
+            (tmp_path / side / sub).mkdir(parents=True)
+            (tmp_path / side / sub / "r.csv").write_text(t)
+    assert {r.arquivo for r in sinks.folder_digest(spark, str(tmp_path / "p")).collect()} == {"a/r.csv", "b c/r.csv"}
+    assert [r.arquivo for r in sinks.compare_folders(spark, str(tmp_path / "p"), str(tmp_path / "q")).collect()] == ["b c/r.csv"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
