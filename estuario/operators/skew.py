@@ -121,9 +121,9 @@ def accounts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
 def heavy_accounts(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """Accounts that receive at least ``share`` of all rows of the edge table (rows without destination count in the total).
 
-    Both sides of the comparison are compact states of :class:`Side`: the edges by account, and the whole table as one row, which is
-    joined to all of them (one row, broadcast) and compared by multiplication. Repeated rows count; an empty table gives no account.
+    Both sides of the comparison are compact states of :class:`Side`: the edges by account, and the whole table as one row, whose count every
+    state is multiplied against. One row meets all of them as a scalar, so nothing is joined. Repeated rows count; an empty table gives no account.
     """
     e = edges.select("destino_conta_id", F.lit(0).alias("_tudo"))
     per, all_ = Side(e, "destino_conta_id", "arestas").compact(), Side(e, "_tudo", "linhas").compact()
-    return per.join(F.broadcast(all_.select("linhas")), F.col("arestas") >= F.col("linhas") * F.lit(share)).select(F.col("_key").alias("destino_conta_id"))
+    return per.where(F.col("arestas") >= all_.select("linhas").scalar() * F.lit(share)).select(F.col("_key").alias("destino_conta_id"))

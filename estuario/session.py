@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of Parquet that one shuffle partition stands for; rows take several times their Parquet size in a shuffle.
 PARTITION_BYTES = 64 << 20
+_MADE: list[str] = []
 
 
 def build(master: str = "local[*]", *, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -56,7 +57,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="estuario-")
-    return f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+    _MADE.append(f"{folder.rstrip('/')}/{name}-{uuid4().hex}")
+    return _MADE[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the written tables this process has made below the shared folder; call it when no frame that reads them is needed any more."""
+    n = 0
+    while _MADE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
