@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import keep
 from .skew import salted_join
 
 KINDS = ("postagem", "mencao", "hashtag")
@@ -158,9 +158,9 @@ def split(registro: DataFrame, kinds: tuple[str, ...] = KINDS) -> tuple[DataFram
     """(pontes, objetos): one bridge row per occurrence, delivered twice or not, and each object once.
 
     pontes: arquivo_id, linha, tipo, profundidade, posicao, pai, objeto. objetos: objeto, tipo, conteudo. The payloads are parsed
-    once; the flat rows are kept in the checkpoint folder, since both tables are read from them.
+    once; the flat rows are written once below the shared folder, compressed and by column, since both tables are read from them.
     """
-    flat = checkpoint(flatten(registro, kinds))
+    flat = keep(flatten(registro, kinds), "objetos")
     return flat.drop("conteudo").distinct(), _objects(flat)
 
 
@@ -187,9 +187,9 @@ def _tag() -> Column:
 
 
 def _named(registro: DataFrame, kind: str, value: Column, name: str) -> DataFrame:
-    """Distinct occurrences of one kind with a value of their object. One checkpoint, one join with the objects, each stored once, and one
+    """Distinct occurrences of one kind with a value of their object. One written table, one join with the objects, each stored once, and one
     distinct at the end, which also takes away the records delivered twice."""
-    flat = checkpoint(flatten(registro, (kind,)))
+    flat = keep(flatten(registro, (kind,)), kind)
     named = _objects(flat).select("objeto", value).where(F.col(name).isNotNull())
     b = flat.select("arquivo_id", "linha", "profundidade", "posicao", "objeto")
     return salted_join(b, named, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha")).select("arquivo_id", "linha", "profundidade", "posicao", name).distinct()
@@ -206,11 +206,11 @@ def hashtags(registro: DataFrame) -> DataFrame:
 
 
 def _with_content(registro: DataFrame, kind: str, *columns: Column) -> DataFrame:
-    """Each occurrence of one kind with its parent and the given columns of its content."""
-    bridges, objects = split(registro, (kind,))
-    b = bridges.select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto")
-    out = salted_join(b, objects.select("objeto", *columns), "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha"))
-    return out.withColumns({"pai": F.hex("pai"), "objeto": F.hex("objeto")})
+    """Each occurrence of one kind with its parent and the given columns of its content, which are taken before anything is written."""
+    flat = keep(flatten(registro, (kind,)).select("arquivo_id", "linha", "profundidade", "posicao", "pai", "objeto", F.when(F.col("conteudo").isNotNull(), F.struct(*columns)).alias("_c")), kind)
+    objects = flat.where(F.col("_c").isNotNull()).groupBy("objeto").agg(F.min("_c").alias("_c"))
+    out = salted_join(flat.drop("_c").distinct(), objects, "objeto", how="inner", spread=F.xxhash64("arquivo_id", "linha"), hot_from=flat.select("objeto"))
+    return out.withColumns({"pai": F.hex("pai"), "objeto": F.hex("objeto")}).select("*", "_c.*").drop("_c")
 
 
 def mention_table(registro: DataFrame) -> DataFrame:
@@ -247,6 +247,6 @@ def posts(registro: DataFrame) -> DataFrame:
 
     ``repeticoes`` is the number of occurrences of the same subtree in all records.
     """
-    flat = checkpoint(flatten(registro, ("postagem",)).select("arquivo_id", "linha", "profundidade", "objeto", "pai").distinct())
+    flat = keep(flatten(registro, ("postagem",)).select("arquivo_id", "linha", "profundidade", "objeto", "pai").distinct(), "postagens")
     n = flat.groupBy("objeto").agg(F.count(F.lit(1)).alias("repeticoes"))
     return salted_join(flat, n, "objeto", spread=F.xxhash64("arquivo_id", "linha"), hot_from=flat.select("objeto")).select("arquivo_id", "linha", "profundidade", F.hex("objeto").alias("objeto"), F.hex("pai").alias("pai"), "repeticoes")
