@@ -165,10 +165,18 @@ def o3_sample(spark, d):
 
 
 def s12_catalogue(spark, d):
-    """Columns and types of the tables in the folder, as the catalogue would list them."""
-    names = ("arquivo", "conta", "grafo_arestas", "mencao", "postagem", "registro")
-    rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n in names for i, f in enumerate(T(spark, d, n).schema.fields)]
-    return spark.createDataFrame(rows, "tabela string, posicao int, coluna string, tipo string, nulo boolean")
+    """Columns and types of all tables in the folder, as the catalogue would list them; of nested types the outermost. Schemas alone are read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(d)
+    found = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    names = sorted(n.removesuffix(".parquet") for n in found if n.endswith(".parquet"))
+    rows = [(n, i, f.name, f.dataType.simpleString().partition("<")[0]) for n in names for i, f in enumerate(T(spark, d, n).schema.fields, 1)]
+    return spark.createDataFrame(rows, "tabela string, posicao int, coluna string, tipo string")
+
+
+def fn_assert(spark, d):
+    """assert_true lets every row pass that keeps the rule; one that broke it would stop the query."""
+    t = T(spark, d, "registro")
+    return t.select("arquivo_id", "linha", F.assert_true(F.col("linha") > 0, F.lit("linha must be positive")).alias("_ok")).groupBy("arquivo_id").agg(F.count(F.lit(1)).alias("registros"), F.count("_ok").alias("avisos"))
 
 
 def s13_parameters(spark, d):
@@ -177,9 +185,13 @@ def s13_parameters(spark, d):
     return spark.sql("SELECT postagem_id FROM _p_postagem WHERE caso_slug = :caso AND created_at >= :de", args={"caso": "farol_apagado", "de": "2023-10-25"})
 
 
-QUERIES = {name: _query(a) for name, (a, _) in SQL.items()} | {f.__name__: f for f in (f14_range_anti, o3_sample, s12_catalogue, s13_parameters)}
+QUERIES = {name: _query(a) for name, (a, _) in SQL.items()} | {f.__name__: f for f in (f14_range_anti, o3_sample, s12_catalogue, s13_parameters, fn_assert)}
 _PLACE = re.compile(r"\{(?![LN]\})(\w+)\}")
 ORACLE = {name: _PLACE.sub(r"\1", b or a) for name, (a, b) in SQL.items()} | {
     "f14_range_anti": "SELECT postagem_id, caso_slug, CAST(created_at AS DATE) AS dia FROM postagem p WHERE NOT EXISTS (SELECT 1 FROM arquivo a WHERE a.caso_slug = p.caso_slug AND CAST(p.created_at AS DATE) BETWEEN a.periodo_inicio AND a.periodo_fim)",
+    "fn_assert": "SELECT arquivo_id, count(*) AS registros, 0::BIGINT AS avisos FROM registro GROUP BY 1",
+    "s12_catalogue": """SELECT table_name AS tabela, CAST(ordinal_position AS INTEGER) AS posicao, column_name AS coluna, CASE WHEN data_type LIKE '%[]' THEN 'array' WHEN data_type LIKE 'STRUCT%' THEN 'struct' WHEN data_type = 'TIMESTAMP' THEN 'timestamp_ntz'
+        WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type LIKE 'DECIMAL%' THEN lower(replace(data_type, ' ', '')) ELSE lower(data_type) END AS tipo
+        FROM information_schema.columns WHERE table_schema = 'main' AND table_name NOT LIKE 'duckdb%' AND table_name NOT LIKE 'sqlite%' AND table_name NOT LIKE 'pragma%'""",
     "s13_parameters": "SELECT postagem_id FROM postagem WHERE caso_slug = 'farol_apagado' AND created_at >= TIMESTAMP '2023-10-25'",
 }

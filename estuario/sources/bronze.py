@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import json
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -58,17 +60,121 @@ def inventory(spark: SparkSession, folder: str, case: str, source: str) -> DataF
     return out
 
 
+class _Text:
+    """A text stream as a JSON reader needs it: blanks skipped, one value decoded at a time; only the value at hand is held."""
+
+    def __init__(self, stream, block: int = 1 << 20):
+        self.stream, self.block, self.rest, self.at, self.end = stream, block, "", 0, False
+        self.decoder, self.bytes = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")()
+
+    def more(self) -> None:
+        """Takes in the next block, or as much as is held where a long value needs more, so that it isn't tried too often."""
+        got = self.stream.read(max(self.block, len(self.rest) - self.at))
+        self.end = not got
+        self.rest, self.at = self.rest[self.at :] + self.bytes.decode(got, self.end), 0
+
+    def peek(self) -> str:
+        """The next character that is no blank, empty at the end."""
+        while True:
+            while self.at < len(self.rest) and self.rest[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.rest) or self.end:
+                return self.rest[self.at : self.at + 1]
+            self.more()
+
+    def take(self, wanted: str) -> None:
+        if self.peek() != wanted:
+            raise ValueError(f"{wanted} expected")
+        self.at += 1
+
+    def value(self) -> object:
+        self.peek()
+        while True:
+            try:
+                v, at = self.decoder.raw_decode(self.rest, self.at)
+            except ValueError:
+                if self.end:
+                    raise
+            else:
+                if self.end or self.rest[at : at + 1] in tuple(" \t\r\n,:]}"):  # a number might go on in the next block
+                    self.at = at
+                    return v
+            self.more()
+
+
+def _members(text: _Text, close: str) -> Iterator[None]:
+    """Steps through the members of an object or array up to ``close``."""
+    if text.peek() == close:
+        text.take(close)
+        return
+    while True:
+        yield
+        if text.peek() == close:
+            text.take(close)
+            return
+        text.take(",")
+
+
+def _container(stream) -> Iterator[tuple[str, object]]:
+    """("metadata", object) and ("tweet", record) of one container, in the order of the file."""
+    text = _Text(stream)
+    text.take("{")
+    for _ in _members(text, "}"):
+        key = text.value()
+        text.take(":")
+        if key == "tweets" and text.peek() == "[":
+            text.take("[")
+            for _ in _members(text, "]"):
+                yield "tweet", text.value()
+        else:
+            v = text.value()
+            if key == "metadata" and isinstance(v, dict):
+                yield "metadata", v
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.string()) for i, c in enumerate(cols)], names=["uri", "linha", "payload", "consulta", "desde", "ate"])
+
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            where, path = fs.FileSystem.from_uri(quote(uri, safe=_PLAIN))
+            meta, rows, n = None, [], 0
+            text = lambda k: meta[k] if isinstance(meta.get(k), str) else None  # noqa: E731, B023
+            try:
+                with where.open_input_stream(path) as f:
+                    for kind, v in _container(f):
+                        if kind == "metadata":
+                            meta = v
+                            continue
+                        if meta is None:  # it may stand behind the records
+                            with where.open_input_stream(path) as g:
+                                meta = next((x for k, x in _container(g) if k == "metadata"), {})
+                        n += 1
+                        rows.append((uri, n, json.dumps(v, ensure_ascii=False, separators=(",", ":")), text("query"), text("since"), text("until")))
+                        if len(rows) == 1000:
+                            yield batch(rows)
+                            rows = []
+            except (ValueError, RecursionError) as e:
+                if n:
+                    raise ValueError(f"{uri} breaks off after record {n}: {e}") from e
+            yield batch(rows)
+
+
 def read_container(spark: SparkSession, folder: str) -> DataFrame:
     """Whole-file JSON with ``metadata`` and ``tweets``: uri, linha (1-based), payload (compact), consulta, periodo_inicio, periodo_fim.
 
-    The query text ends before " since:"; blank becomes null. An empty list gives no rows.
+    The query text ends before " since:"; blank becomes null. An empty list, and a file that is no container, give no rows; a file that breaks
+    off behind its first record is an error, as part of it must not pass for the whole. Files are read as streams, record by record, so
+    their size is not bound by the memory of a task.
     """
-    t = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("uri"), F.from_json("value", "metadata struct<query:string,since:string,until:string>, tweets array<string>").alias("j"))
-    m = F.col("j.metadata")
-    query = F.nullif(F.trim(F.element_at(F.split(m["query"], " since:"), 1)), F.lit(""))
-    return t.select("uri", query.alias("consulta"), m["since"].try_cast("date").alias("periodo_inicio"), m["until"].try_cast("date").alias("periodo_fim"), F.posexplode("j.tweets").alias("i", "payload")).select(
-        "uri", (F.col("i") + 1).alias("linha"), "payload", "consulta", "periodo_inicio", "periodo_fim"
-    )
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(folder)
+    t = f.select(F.col("_metadata.file_path").alias("uri")).mapInArrow(_records, "uri string, linha int, payload string, consulta string, desde string, ate string")
+    query = F.nullif(F.trim(F.element_at(F.split("consulta", " since:"), 1)), F.lit(""))
+    return t.select("uri", "linha", "payload", query.alias("consulta"), F.col("desde").try_cast("date").alias("periodo_inicio"), F.col("ate").try_cast("date").alias("periodo_fim"))
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import io
 import json
 
 import pytest
@@ -51,6 +52,32 @@ def test_ingest_keeps_files_with_blanks_and_accents(spark, tmp_path):
     assert {r.uri.rsplit("/", 1)[1] for r in bronze.without_records(spark, str(tmp_path)).collect()} == {"vazio%202.json", "torto.json"}
 
 
+def test_containers_are_read_as_streams():
+    """Against the standard reader, cut into blocks of every small size."""
+    doc = {"x": [1, {"tweets": [9]}], "metadata": {"query": "á", "since": None}, "n": 12.50, "tweets": [{"á": "\u2028é😀", "n": 1e3}, {}, 7, [1, "]"], None, {"b": {"c": ["}"]}}], "z": -0.5, "fim": "tweets"}
+    for raw in (json.dumps(doc, ensure_ascii=False), json.dumps(doc, indent=2), "\ufeff" + json.dumps(doc), json.dumps(dict(reversed(doc.items())))):
+        for block in (1, 2, 3, 7, 1000):
+            class Small(io.BytesIO):
+                def read(self, n=-1):
+                    return super().read(min(n, block) if n > 0 else n)  # noqa: B023
+
+            got = list(bronze._container(Small(raw.encode())))
+            assert [v for k, v in got if k == "tweet"] == doc["tweets"] and [v for k, v in got if k == "metadata"] == [doc["metadata"]]
+    for bad in ("", "{", "[]", '{"tweets": [1, 2', '{"tweets": [1 2]}', '{"tweets" [1]}'):
+        with pytest.raises(ValueError):
+            list(bronze._container(io.BytesIO(bad.encode())))
+    assert list(bronze._container(io.BytesIO(b'{"tweets": {}}'))) == [] == list(bronze._container(io.BytesIO(b"{}")))
+
+
+def test_metadata_behind_the_records_and_broken_containers(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"tweets": [{"n": i} for i in range(2500)], "metadata": {"query": "q since:1", "since": "2024-01-01", "until": "x"}}))
+    r = bronze.read_container(spark, str(tmp_path)).collect()
+    assert sorted(x.linha for x in r) == list(range(1, 2501)) and {(x.consulta, x.periodo_inicio, x.periodo_fim) for x in r} == {("q", dt.date(2024, 1, 1), None)}
+    (tmp_path / "b.json").write_text('{"metadata": {}, "tweets": [{"n": 1}, {"n": ')
+    with pytest.raises(Exception, match="breaks off after record 1"):
+        bronze.read_container(spark, str(tmp_path)).collect()
+
+
 def test_label_files(spark, tmp_path):
     (tmp_path / "treino.jsonl").write_text('{"id": 1, "case": "c", "text": "a", "clean_text": "[IRONY] a", "stance": "neutro"}\n{"id": 2}\n')
     (tmp_path / "teste.json").write_text('[{"id": 3,\n "case": "c"}]')
