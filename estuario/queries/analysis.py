@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, lru_cache
 
+from pyspark.sql import DataFrame
+
 from ..operators import analytics as an
 from ..operators import gold
 from ..session import keep
@@ -17,16 +20,29 @@ class Inputs:
     # each fact is written once at the layer's edge, when the first question asks for it
     cal = cached_property(lambda self: keep(self.layer.cal, "cal"))
     roles = cached_property(lambda self: keep(self.layer.roles, "papel"))
-    act = cached_property(lambda self: keep(self.layer.activity, "atividade"))
-    ref = cached_property(lambda self: keep(self.layer.references, "referencia"))
+    act = cached_property(lambda self: keep(gold.activity(self.layer.stanced, self.layer.norm, self.cal), "atividade"))
+    ref = cached_property(lambda self: keep(gold.references(self.layer.stanced, self.layer.cases, self.cal), "referencia"))
     net = cached_property(lambda self: keep(self.layer.network, "rede"))
     ar = cached_property(lambda self: keep(self.layer.edges_given, "arestas"))
+
+    def prepare(self, names: list[str]) -> None:
+        """Writes the facts that a question needs and that are not there yet, side by side, as none of them fills the cluster."""
+        if {"act", "ref"} & set(names):
+            self.cal  # noqa: B018
+        todo = [n for n in names if n in ("cal", "roles", "act", "ref", "net", "ar") and n not in self.__dict__]
+        with ThreadPoolExecutor(max(1, len(todo))) as pool:
+            list(pool.map(lambda n: getattr(self, n), todo))
+
     leaders = cached_property(lambda self: keep(an.p10_leaders(self.ar, self.roles), "lideres"))
     matrix = cached_property(lambda self: keep(an.p8_matrix(self.ar), "matriz"))
     newman = cached_property(lambda self: keep(an.p8_newman(self.matrix), "newman"))
     poles = cached_property(lambda self: keep(an.p10_pole_phase(self.ar, self.leaders), "polos"))
     answers = cached_property(lambda self: keep(an.p9_phase(self.ref, self.net, self.cal), "respostas"))
-    series = cached_property(lambda self: keep(an.p11_series(self.net, self.cal, self.ar, self.narr, self.ref, self.act, self.leaders), "series"))
+    def _series(self) -> DataFrame:
+        self.prepare(["cal", "roles", "act", "ref", "net", "ar"])
+        return an.p11_series(self.net, self.cal, self.ar, self.narr, self.ref, self.act, self.leaders)
+
+    series = cached_property(lambda self: keep(self._series(), "series"))
 
 
 @lru_cache(8)
@@ -73,7 +89,13 @@ _ARGS = {
 
 def _query(name):
     f, args = _ARGS[name]
-    return lambda spark, d: f(*[getattr(inputs(spark, d), a) for a in args.split()])
+
+    def query(spark, d):
+        x = inputs(spark, d)
+        x.prepare(args.split())
+        return f(*[getattr(x, a) for a in args.split()])
+
+    return query
 
 
 QUERIES = {name: _query(name) for name in _ARGS}

@@ -94,6 +94,10 @@ def p6_conteudo_postagens(spark: SparkSession, d: str) -> DataFrame:
     return p6_tabela_postagens(spark, d).drop("objeto", "pai")
 
 
+def p6_conteudo_mencoes(spark: SparkSession, d: str) -> DataFrame:
+    return p6_tabela_mencoes(spark, d).drop("objeto", "pai")
+
+
 def p6_ilegiveis(spark: SparkSession, d: str) -> DataFrame:
     return nested.unreadable(T(spark, d, "registro"))
 
@@ -106,7 +110,7 @@ def p7_relatorio(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(p7_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p3_tabela_completa, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p6_pontes, p6_objetos, p6_tabela_mencoes, p6_tabela_hashtags, p6_tabela_postagens, p6_conteudo_postagens, p6_ilegiveis, p7_found, p7_relatorio)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mudancas, p3_versoes, p3_tabela, p3_tabela_completa, p4_found, p4_situacoes, p5_found, p5_contas, p6_found, p6_hashtags, p6_postagens, p6_pontes, p6_objetos, p6_tabela_mencoes, p6_tabela_hashtags, p6_tabela_postagens, p6_conteudo_postagens, p6_conteudo_mencoes, p6_ilegiveis, p7_found, p7_relatorio)}
 
 _P7 = r"""
 WITH post AS (
@@ -196,17 +200,17 @@ def _p3_sql() -> str:
             parents.setdefault((fonte, src, p, above), []).append((k, new))
             is_object = f"fonte = '{fonte}' AND json_type({p}) = 'OBJECT'"
             there = " OR ".join(f"({at(n)}) IS NOT NULL" for n in new) or "false"
-            out.append(f"SELECT arquivo_id, '{above}{k}' AS caminho, CASE WHEN {there} THEN 'renomeado' ELSE 'removido' END AS mudanca FROM {src} WHERE {is_object} AND ({at(k)}) IS NULL")
+            out.append(f"SELECT rid, arquivo_id, '{above}{k}' AS caminho, CASE WHEN {there} THEN 'renomeado' ELSE 'removido' END AS mudanca FROM {src} WHERE {is_object} AND ({at(k)}) IS NULL")
             value = f"coalesce({', '.join(at(n) for n in (k, *new))})"
-            out.append(f"SELECT arquivo_id, '{above}{k}', 'tipo' FROM {src} WHERE {is_object} AND json_type({value}) NOT IN ({types}, 'NULL')")
+            out.append(f"SELECT rid, arquivo_id, '{above}{k}', 'tipo' FROM {src} WHERE {is_object} AND json_type({value}) NOT IN ({types}, 'NULL')")
     for (fonte, src, p, above), keys in parents.items():
         known = ", ".join(f"'{k}'" for k, _ in keys)
         used = " OR ".join(f"(k = '{n}' AND ({p}->'$.{b}') IS NULL)" for b, new in keys for n in new) or "false"
-        out.append(f"SELECT arquivo_id, '{above}' || k, 'adicionado' FROM (SELECT *, unnest(json_keys({p})) AS k FROM {src} WHERE fonte = '{fonte}' AND json_type({p}) = 'OBJECT') WHERE k NOT IN ({known}) AND '{above}' || k NOT IN ({_OPCIONAIS}) AND NOT ({used})")
-    out.append("SELECT arquivo_id, CASE fonte WHEN 'graphql' THEN 'legacy.entities.hashtags[]' ELSE 'hashtags[]' END, 'tipo' FROM hs WHERE json_type(h) NOT IN (CASE fonte WHEN 'graphql' THEN 'OBJECT' ELSE 'VARCHAR' END, 'NULL')")
-    out.append("SELECT arquivo_id, CASE fonte WHEN 'graphql' THEN 'legacy.entities.user_mentions[]' ELSE 'mentions[]' END, 'tipo' FROM ms WHERE json_type(m) NOT IN ('OBJECT', 'NULL')")
-    lists = lambda g, c: f"SELECT arquivo_id, fonte, unnest(CAST(x AS JSON[])) AS {{0}} FROM (SELECT *, CASE fonte WHEN 'graphql' THEN j->'$.legacy.entities.{g}' ELSE j->'$.{c}' END AS x FROM rs) WHERE json_type(x) = 'ARRAY'"
-    return f"""WITH f AS (SELECT arquivo_id, min(lower(trim(fonte))) AS fonte FROM arquivo GROUP BY 1), rs AS (SELECT arquivo_id, fonte, CAST(payload AS JSON) AS j FROM registro JOIN f USING (arquivo_id)),
+        out.append(f"SELECT rid, arquivo_id, '{above}' || k, 'adicionado' FROM (SELECT *, unnest(json_keys({p})) AS k FROM {src} WHERE fonte = '{fonte}' AND json_type({p}) = 'OBJECT') WHERE k NOT IN ({known}) AND '{above}' || k NOT IN ({_OPCIONAIS}) AND NOT ({used})")
+    out.append("SELECT rid, arquivo_id, CASE fonte WHEN 'graphql' THEN 'legacy.entities.hashtags[]' ELSE 'hashtags[]' END, 'tipo' FROM hs WHERE json_type(h) NOT IN (CASE fonte WHEN 'graphql' THEN 'OBJECT' ELSE 'VARCHAR' END, 'NULL')")
+    out.append("SELECT rid, arquivo_id, CASE fonte WHEN 'graphql' THEN 'legacy.entities.user_mentions[]' ELSE 'mentions[]' END, 'tipo' FROM ms WHERE json_type(m) NOT IN ('OBJECT', 'NULL')")
+    lists = lambda g, c: f"SELECT rid, arquivo_id, fonte, unnest(CAST(x AS JSON[])) AS {{0}} FROM (SELECT *, CASE fonte WHEN 'graphql' THEN j->'$.legacy.entities.{g}' ELSE j->'$.{c}' END AS x FROM rs) WHERE json_type(x) = 'ARRAY'"
+    return f"""WITH f AS (SELECT arquivo_id, min(lower(trim(fonte))) AS fonte FROM arquivo GROUP BY 1), rs AS (SELECT row_number() OVER () AS rid, arquivo_id, fonte, CAST(payload AS JSON) AS j FROM registro JOIN f USING (arquivo_id)),
       ms AS ({lists("user_mentions", "mentions").format("m")}), hs AS ({lists("hashtags", "hashtags").format("h")}), c AS ({" UNION ALL ".join(out)})"""
 
 
@@ -238,6 +242,7 @@ ORACLE = {
       x AS (SELECT arquivo_id, linha, profundidade, unnest(a) AS h, generate_subscripts(a, 1) - 1 AS posicao FROM e)
       SELECT DISTINCT arquivo_id, linha, profundidade, CAST(posicao AS INTEGER) AS posicao, lower(h) AS hashtag FROM x WHERE h IS NOT NULL""",
     "p3_found": _P3 + " SELECT DISTINCT arquivo_id, caminho, mudanca FROM c",
+    "p3_mudancas": _P3 + " SELECT arquivo_id, caminho, mudanca, count(DISTINCT rid) AS registros FROM c GROUP BY ALL",
     "p3_tabela": _TABELA + " SELECT DISTINCT * EXCLUDE (caso_slug) FROM t",
     "p6_conteudo_postagens": _POSTS + " SELECT DISTINCT arquivo_id, linha, profundidade, " + ", ".join(
         f"coalesce({', '.join(f"j->>'$.{k}'" for k in ks)}) AS {n}" for n, ks in {
@@ -262,6 +267,11 @@ ORACLE = {
       x AS (SELECT arquivo_id, linha, profundidade, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS posicao FROM e)
       SELECT DISTINCT arquivo_id, linha, profundidade, CAST(posicao AS INTEGER) AS posicao, lower(coalesce(item->>'$.screen_name', item->>'$.username', item->>'$.handle')) AS handle
       FROM x WHERE coalesce(item->>'$.screen_name', item->>'$.username', item->>'$.handle') IS NOT NULL""",
+    "p6_conteudo_mencoes": _POSTS
+    + r""", l AS (SELECT arquivo_id, linha, profundidade, coalesce(j->'$.legacy.entities.user_mentions', j->'$.mentions') AS m FROM p),
+      e AS (SELECT arquivo_id, linha, profundidade, CASE WHEN json_type(m) = 'ARRAY' THEN CAST(m AS JSON[]) WHEN json_type(m) = 'OBJECT' THEN [m] END AS a FROM l),
+      x AS (SELECT arquivo_id, linha, profundidade, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS posicao FROM e)
+      SELECT DISTINCT arquivo_id, linha, profundidade, CAST(posicao AS INTEGER) AS posicao, item->>'$.id_str' AS id_nativo, lower(coalesce(item->>'$.screen_name', item->>'$.username', item->>'$.handle')) AS handle FROM x WHERE json_type(item) <> 'NULL'""",
     "p7_found": _P7 + "SELECT * FROM achadas",
     "p7_relatorio": _P7 + "SELECT tabela, coluna, periodo, motivo, count(*) AS referencias FROM achadas GROUP BY ALL",
 }
