@@ -12,6 +12,9 @@ from ..operators import dml, gold, qc, silver
 from ..session import table as T
 from . import data_problems
 
+#: A capture that breaks no blocking rule.
+SOUND = r"""id_nativo RLIKE '^[0-9]{15,20}\\z' AND trim(autor_handle) <> '' AND created_at <= TIMESTAMP_NTZ '2024-10-30 00:00:00' AND (tipo_ref <> 'reply' OR trim(ref_handle) <> '')
+    AND coalesce(likes, 0) >= 0 AND coalesce(retweets, 0) >= 0 AND coalesce(quotes, 0) >= 0 AND coalesce(respostas, 0) >= 0 AND coalesce(nullif(trim(stance_previa), ''), 'neutro') IN ('acusador', 'defensor', 'neutro')"""
 VERSION, NOW, SALT = "v1", "2024-10-30 00:00:00", "sal de teste"
 
 
@@ -49,9 +52,11 @@ def c9_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c5_promotable(spark: SparkSession, d: str) -> DataFrame:
-    # the given data fail the gate on purpose, so the rule is shown on the cases with at most so many blocking failures
-    gate = c9_gate(spark, d).withColumn("pode_promover", F.col("bloqueios") <= 6)
-    return silver.promotable(silver.deduplicate(_caps(spark, d)), gate, VERSION).select("caso_slug", "id_nativo", "autor_handle")
+    """The posts of captures that keep every blocking rule, through the gate itself: the given data as they are fail it on purpose (see c5_gated)."""
+    caps = _caps(spark, d).where(SOUND)
+    dedup = silver.deduplicate(caps)
+    gate = qc.gate(qc.battery(caps, dedup, T(spark, d, "arquivo"), VERSION, NOW))
+    return silver.promotable(dedup, gate, VERSION).select("caso_slug", "id_nativo", "autor_handle")
 
 
 def c5_gated(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +313,8 @@ ORACLE = {
     "c4_clean_text": "SELECT postagem_id, texto_limpo AS limpo FROM postagem",  # the stored texts themselves
     "qc_battery": _QC + " SELECT * FROM qc",
     "c9_gate": _QC + " SELECT *, bloqueios = 0 AS pode_promover FROM gate",
-    "c5_promotable": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios <= 6)",
+    "c5_promotable": _QC.replace("FROM v_deduplicado", "FROM boas").replace("WITH ", f"WITH boas AS (SELECT * FROM v_deduplicado WHERE {SOUND.replace('TIMESTAMP_NTZ', 'TIMESTAMP').replace(r"id_nativo RLIKE '^[0-9]{15,20}\\z'", "regexp_full_match(id_nativo, '[0-9]{15,20}')").replace("trim(autor_handle)", "trim(autor_handle, ' ')").replace("trim(ref_handle)", "trim(ref_handle, ' ')").replace("trim(stance_previa)", "trim(stance_previa, ' ')")}), ", 1)
+    + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios = 0)",
     "c5_gated": _QC + " SELECT caso_slug, id_nativo, autor_handle FROM d WHERE trim(autor_handle, ' ') <> '' AND caso_slug IN (SELECT caso_slug FROM gate WHERE bloqueios = 0)",
     "c6_accounts": f"WITH {_ACCOUNTS} SELECT * FROM contas",
     "c7_mentions": "SELECT DISTINCT caso_slug, id_nativo, lower(m.handle) AS handle FROM (SELECT caso_slug, id_nativo, unnest(mencoes) AS m FROM v_normalizado) WHERE m.handle IS NOT NULL",
