@@ -101,11 +101,13 @@ def survivors(df: DataFrame, *, priority: dict[str, int] | None = None) -> DataF
     base = base.where(F.col("_id").isNotNull() & F.col("caso_slug").isNotNull())
     post = F.xxhash64(*keys)
     hot = hot_keys(base.select(post.alias("_post")), "_post").collect()  # bounded, see hot_keys
-    cold = base.where(~post.isin([r._post for r in hot])) if hot else base
-    out = _reduced(cold.repartition(*keys), keys, fields, kinds)
-    if hot:
-        salts = F.create_map(*[F.lit(x) for r in hot for x in (r._post, r._sais)])
-        spread = base.where(post.isin([r._post for r in hot])).withColumn("_sal", F.pmod(F.xxhash64("dedup_id"), salts[post]))
+    if not hot:
+        out = _reduced(base.repartition(*keys), keys, fields, kinds)
+    else:
+        h = F.broadcast(df.sparkSession.createDataFrame(hot, "_post bigint, _sais int"))
+        marked = base.withColumn("_post", post)
+        out = _reduced(marked.join(h, "_post", "left_anti").repartition(*keys), keys, fields, kinds)
+        spread = marked.join(h, "_post").withColumn("_sal", F.pmod(F.xxhash64("dedup_id"), F.col("_sais")))
         parts = _reduced(spread.repartition(*keys, "_sal"), [*keys, "_sal"], fields, kinds)
         best = [c for c in parts.columns if c.startswith(("_best", "_n_", "_f_"))]
         out = out.unionByName(parts.groupBy(*keys).agg(F.sum("linhas").alias("linhas"), F.sum("capturas").alias("capturas"), *[F.max(c).alias(c) for c in best]))
