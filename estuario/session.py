@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of Parquet that one shuffle partition stands for; rows take several times their Parquet size in a shuffle.
 PARTITION_BYTES = 64 << 20
+#: More shuffle partitions than this cost more in blocks than they save; beyond it partitions grow and spill.
+MOST_PARTITIONS = 50_000
 _MADE: list[str] = []
 
 
@@ -78,11 +80,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions_for(size: int, current: int) -> int:
-    """The shuffle partitions for an input of ``size`` bytes: never fewer than ``current``, and one for every PARTITION_BYTES.
+    """The shuffle partitions for an input of ``size`` bytes: never fewer than ``current``, and one for every PARTITION_BYTES up to MOST_PARTITIONS.
 
     Adaptive execution merges small partitions but never splits those of an aggregate, so the count must follow the input.
     """
-    return max(current, -(-size // PARTITION_BYTES))
+    return max(current, min(MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import io
 import json
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,8 +188,13 @@ def test_update_quarantine_and_views(spark):
 def test_checkpoint_folder_and_partitions(spark):
     from estuario import session
 
-    assert session.partitions_for(0, 8) == 8 and session.partitions_for(10 << 30, 8) == 160 and session.partitions_for(100 << 40, 200) == 1_638_400
-    assert session.keep(spark.range(5), "t").count() == 5
+    assert session.partitions_for(0, 8) == 8 and session.partitions_for(10 << 30, 8) == 160 and session.partitions_for(100 << 40, 200) == 50_000 and session.partitions_for(100 << 40, 60_000) == 60_000
+    kept = session.keep(spark.range(5), "t")
+    assert kept.count() == 5 and session.forget(spark) > 0 and session.forget(spark) == 0
+    # a folder of one machine is no place to keep data on a cluster
+    far = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="spark://elsewhere:7077"), conf=types.SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch(far, "t")
 
 
 def test_reconciliation_names_what_differs(spark):
