@@ -124,7 +124,7 @@ def after_promotion(pairs: DataFrame, posts: DataFrame, labels: DataFrame, teste
 
     ``pairs``: see :func:`cleaning_pairs`. ``labels``: postagem_id, modelo, versao, rotulo. ``tested``: caso_slug, verdade, previsto of a test split.
     Coverage is the share of posts with a label of this model and version, pct_neutro of labels that are neutral, accuracy that of the
-    scorer on the test split. Several labels of one post, model and version count once each in coverage of 100 % at most.
+    scorer on the test split; a case without labels, or without test rows, has no row of theirs. Several labels of one post, model and version count once each in coverage of 100 % at most.
     """
     mine = labels.where((F.col("modelo") == model) & (F.col("versao") == version_of_model)).select("postagem_id", "rotulo")
     share = lambda n, of: F.lit(100.0) * n / of
@@ -138,7 +138,7 @@ def after_promotion(pairs: DataFrame, posts: DataFrame, labels: DataFrame, teste
     b = per.select("caso_slug", F.explode(F.array(
         F.struct(F.lit("qc_classificacao_cobertura").alias("indicador"), share(F.col("r"), F.col("t")).alias("valor"), F.lit(True).alias("aprovado"), F.lit(f"postagens com rotulo de stance ({model} {version_of_model}); sem rotulo = texto_limpo vazio").alias("detalhe")),
         F.struct(F.lit("qc_classificacao_pct_neutro").alias("indicador"), neutral.alias("valor"), F.coalesce(neutral >= LEAST_NEUTRAL, F.lit(False)).alias("aprovado"), F.lit("abaixo de 10 pct de neutro sugere colapso de classe").alias("detalhe")),
-    )).alias("x")).select("caso_slug", "x.*")
+    )).alias("x")).select("caso_slug", "x.*").where("valor IS NOT NULL")
     right = F.count_if(F.col("verdade") == F.col("previsto")) / F.count(one)
     c = tested.groupBy("caso_slug").agg(F.lit("qc_classificador_acuracia_teste").alias("indicador"), right.alias("valor"), (right >= LEAST_ACCURACY).alias("aprovado"), F.lit("acuracia do modelo no teste do gabarito").alias("detalhe"))
     severity = F.create_map(*[F.lit(x) for kv in POST_INDICATORS.items() for x in kv])
