@@ -127,7 +127,7 @@ _FLAGS = ", ".join(
 _DRAWN = ("абвАВЕКМНОРСТЅеорсухѕіјһӏԁΑΒΕΖΗΜΝΟΡΤΥνορɡ", "aбвABEKMHOPCTSeopcyxsijhldABEZHMNOPTYvopg")
 _READ = """{n} AS (SELECT postagem_id, t, trim(regexp_replace(nfc_normalize(array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE
     WHEN u[i] BETWEEN 65281 AND 65374 THEN chr(u[i] - 65248) WHEN u[i] = 8230 THEN '...' WHEN u[i] IN (8208, 8209) THEN '-' WHEN u[i] = 64257 THEN 'fi' WHEN u[i] = 64258 THEN 'fl'
-    WHEN u[i] = 8205 THEN CASE WHEN i > 1 AND u[i - 1] >= 9000 THEN chr(8205) ELSE '' END WHEN u[i] IN (173, 847, 6158, 8203, 8204, 8206, 8288, 65039, 65279) THEN '' WHEN u[i] IN (9, 160, 8239, 8287, 12288) OR u[i] BETWEEN 8192 AND 8202 THEN ' '
+    WHEN u[i] = 8205 THEN CASE WHEN i > 1 AND (u[i - 1] BETWEEN 9000 AND 12000 OR u[i - 1] = 65039 OR u[i - 1] >= 126976) THEN chr(8205) ELSE '' END WHEN u[i] IN (173, 847, 6158, 8203, 8204, 8206, 8288, 65039, 65279) THEN '' WHEN u[i] IN (9, 160, 8239, 8287, 12288) OR u[i] BETWEEN 8192 AND 8202 THEN ' '
     ELSE translate(chr(u[i]), '""" + _DRAWN[0] + """', '""" + _DRAWN[1] + """') END), '')), ' +', ' ', 'g'), ' ') AS k
   FROM (SELECT postagem_id, {c} AS t, list_transform(range(1, length({c}) + 1), lambda i: unicode(substring({c}, i, 1))) AS u0, list_concat(u0, []) AS u FROM postagem WHERE {c} IS NOT NULL))"""
 ORACLE = {
